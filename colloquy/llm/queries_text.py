@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality
+from . import bpe, fingerprints, language, licenses, packing, quality
 from .tables import table
 
 
@@ -16,6 +17,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", (language.fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("_words", quality.words_of(F.col("edited")))
+    rows = rows.withColumn("edited_sketch", fingerprints.sketch_of(F.col("_words")))
+    own = F.col("sketch")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(own, F.col("next_sketch")).alias("near_next"),
+        fingerprints.distinct_shingles(own).alias("n_shingles_est"),
+        fingerprints.containment(own, F.col("edited_sketch")).alias("contained_in_edited"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     base = ~quality.passes(rows["failures"], "base")
@@ -23,7 +53,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*columns, base.alias("base_failed"), quality.passes(rows["failures"], "v1").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op5_language_id, op6_best_fit_packing, op7_fingerprints, op8_quality_rules)}
 
 
 def _license_sql() -> str:
