@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a worker keeps of words seen before; at the bound it starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 #: Words of more characters are merged anew each time.
 CACHE_CHARS = 64
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, licenses, packing, quality
+from . import bpe, fingerprints, language, licenses, packed_matrices, packing, quality, sentencepieces
 from .tables import table
 
 
@@ -17,6 +17,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepieces.encode_and_decode(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs))
@@ -53,7 +64,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*columns, base.alias("base_failed"), quality.passes(rows["failures"], "v1").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op5_language_id, op6_best_fit_packing, op7_fingerprints, op8_quality_rules)}
+def op10_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packed_matrices.matrices(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_ids",
+        "starts",
+        "cu_seqlens",
+        F.col("n_tokens").cast("bigint").alias("n_tokens"),
+        F.crc32("input_ids").alias("input_ids_crc32"),
+        F.crc32("position_ids").alias("position_ids_crc32"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_sentencepiece, op5_language_id, op6_best_fit_packing, op7_fingerprints, op8_quality_rules, op10_packed_matrices)}
 
 
 def _license_sql() -> str:
