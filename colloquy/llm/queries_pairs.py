@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import jaccard_join, substring_dedup
 from .tables import table
 
 
@@ -12,7 +13,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each verified passage: where it is, and the earlier passage that it repeats."""
+    found = substring_dedup.repeats(table(spark, sf_dir, "documents"))
+    words = lambda name: F.col(name).cast("bigint").alias(f"{name}_word")
+    return found.select(F.col("id").alias("doc_id"), words("first"), words("last"), F.col("source_id").alias("source_doc_id"), words("source_first"), words("source_last"))
+
+
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op9_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard_join": """
 WITH RECURSIVE words AS (
