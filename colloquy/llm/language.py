@@ -214,5 +214,6 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col), *keep, predict(F.col(text_col)).alias("_p"))
+    once = predict.asNondeterministic()  # a filter on the result must not run it again
+    rows = docs.select(F.col(id_col), *keep, once(F.col(text_col)).alias("_p"))
     return rows.select(id_col, *keep, "_p.lang_pred", "_p.score")

@@ -121,6 +121,16 @@ def passes(failures: Column, policy: str = "v1") -> Column:
     return failures.bitwiseAND(F.lit(bits(POLICIES[policy])).cast("bigint")) == 0
 
 
+def passing(docs: DataFrame, policy: str = "v1", **columns) -> DataFrame:
+    """The rows of ledger(docs, **columns) that pass the policy.
+
+    The row number keeps the filter above the ledger: below it, the optimiser would write every
+    measurement out again inside the condition, and inside each other's lambdas.
+    """
+    rows = ledger(docs, **columns).withColumn("_at", F.monotonically_increasing_id())
+    return rows.where(passes(F.col("failures"), policy) & (F.col("_at") >= 0)).drop("_at")
+
+
 def ablations(ledger_rows: DataFrame, policy: str = "v1") -> DataFrame:
     """A row for each rule of the policy: documents that fail it, that fail it alone and so
     would come back without it, and that the policy keeps. One aggregate of a row a rule.

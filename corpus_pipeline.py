@@ -25,8 +25,7 @@ def _whole_rows(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the policy v1 of the quality rules."""
-    rows = quality.ledger(_whole_rows(docs), keep=("_row",))
-    return rows.where(quality.passes(rows["failures"], "v1")).select("_row.*")
+    return quality.passing(_whole_rows(docs), "v1", keep=("_row",)).select("_row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
