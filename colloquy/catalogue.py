@@ -1,4 +1,6 @@
 """Queries over the driver's tables and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import interval_queries, row_queries
+
+QUERIES = interval_queries.QUERIES | row_queries.QUERIES
+ORACLE_SQL = interval_queries.ORACLE_SQL | row_queries.ORACLE_SQL
