@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,20 +22,43 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
 
 
+#: Rows that go to a Python worker at once while a table is written: whole texts are long.
+BATCH_ROWS = 1024
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Shorter Arrow batches for what runs inside."""
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     Lineage ends at files that outlive executors, so a lost executor costs a re-read only.
     """
     path = f"{shared_dir(df.sparkSession)}/colloquy-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with short_batches(df.sparkSession):
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._colloquy_path = path
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what written() wrote for ``df``; the caller no longer reads it."""
+def discard(df: DataFrame, *, shuffles: bool = False) -> None:
+    """Delete what written() wrote for ``df``; the caller no longer reads it.
+
+    shuffles: also ask the driver to collect its garbage, for only then the large shuffle files
+    behind tables that are written by now are deleted; on its own it may not for half an hour.
+    """
     spark, path = df.sparkSession, df._colloquy_path
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    if shuffles:
+        spark._jvm.System.gc()
