@@ -41,12 +41,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group linked by 5-word shingles at 0.8 or more."""
+    """The document of the smallest id of each group linked by 5-word shingles at 0.8 or more.
+
+    Documents without an id can't be grouped and stay.
+    """
     groups = jaccard_join.similar(docs, width=5, num=80, den=100)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = _whole_rows(docs).join(first, "doc_id", "left_semi")
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_n", once).where("_n = 1").select("_row.*")
+    kept = kept.withColumn("_n", once).where("_n = 1").select("_row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
