@@ -142,24 +142,36 @@ def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def summaries(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """``id, n, h1, h2, signatures`` of every row; h1 and h2 name the set."""
+def summaries(texts: DataFrame, width: int) -> DataFrame:
+    """``id, n, h1, h2`` of ``id, text``: the size of each set and a name for it."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            n, h1, h2 = [], [], []
             for s in shingle_sets(_texts(batch.column(1)), width):
-                h1, h2 = (int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (1, 2))
-                rows.append((len(s), h1, h2, signatures(s, num, den).astype(np.int64) if len(s) else []))
-            n, h1, h2, found = zip(*rows) if rows else ((), (), (), ())
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "h1", "h2", "signatures"])
+                n.append(len(s))
+                for h, c in ((h1, 1), (h2, 2)):
+                    h.append(int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2))], names=["id", "n", "h1", "h2"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(summarise, "id bigint, n bigint, h1 bigint, h2 bigint, signatures array<bigint>")
+    return texts.mapInArrow(summarise, "id bigint, n bigint, h1 bigint, h2 bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the similarity."""
+def signed(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``sig, id`` of ``id, text``: a row for each signature."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = [signatures(s, num, den).astype(np.int64) for s in shingle_sets(_texts(batch.column(1)), width)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(ids, [len(x) for x in found]))], names=["sig", "id"])
+
+    return texts.mapInArrow(sign, "sig bigint, id bigint")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets reach the similarity; ``texts`` has ``id, text``."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,53 +181,93 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
                 links.append(den * both >= num * (len(s) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    both = pairs.join(texts.withColumnsRenamed({"_id": "a", "_text": "text_a"}), "a")
-    both = both.join(texts.withColumnsRenamed({"_id": "b", "_text": "text_b"}), "b")
+    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
+    both = both.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint")
 
 
+def own_shingles(labelled: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``id, u`` of ``id, component``: how many shingles of a text are in no other component."""
+
+    def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.astype(np.int64) for s in shingle_sets(_texts(batch.column(2)), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "component", "s"])
+
+    sets = texts.join(labelled, "id").select("id", "component", "text").mapInArrow(list_sets, "id bigint, component bigint, s array<bigint>")
+    each = sets.select("id", "component", F.explode("s").alias("s"))
+    own = each.groupBy("s").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a = _b").select("s")
+    return each.join(own, "s", "left_semi").groupBy("id").agg(F.count_distinct("s").alias("u"))
+
+
+def several_components(rows: DataFrame) -> DataFrame:
+    """Of bucket rows ``sig, id, n, component, ...`` those of buckets with several components."""
+    spread = rows.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("sig")
+    return rows.join(spread, "sig", "left_semi")
+
+
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id, set_id`` for every id: the smallest id reachable by
     links, and the smallest id with the same set (null without one)."""
-    rows = written(summaries(docs, id_col, text_col, width, num, den))
-    sets = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    sets = written(sets)
-    check = lambda pairs: verified(pairs, docs, id_col, text_col, width, num, den)
-    sizes = rows.select("id", "n")
-    buckets = rows.join(sets.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("signatures").alias("sig"))
-    shared = buckets.groupBy("sig").agg(F.min("id").alias("c"), F.max("id").alias("_m")).where("c < _m").drop("_m")
-    live = written(buckets.join(shared, "sig").select("sig", "id", "n", "c"))
-    near = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
-    first = live.where("id <> c").select("id", "n", "c").distinct()
-    first = first.join(sizes.select(F.col("id").alias("c"), F.col("n").alias("m")).distinct(), "c").select(F.col("id").alias("a"), "n", F.col("c").alias("b"), "m")
-    links = written(check(first.where(near).select("a", "b")))
+    every = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = written(summaries(every, width))
+    sets = written(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")))
+    representatives = every.join(sets.select(F.col("rep").alias("id")), "id", "left_semi")
+    buckets = written(signed(representatives.select("id", "text"), width, num, den))
+    shared = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sig")
+    live = written(buckets.join(shared, "sig"))
+    discard(buckets, shuffles=True)
+    sizes = rows.select("id", "n").distinct()
+    live = live.join(sizes, "id")
+    centers = live.groupBy("sig").agg(F.min("id").alias("c"))
+    texts = written(every.join(live.select("id").distinct(), "id", "left_semi").select("id", "text"))
+    check = lambda pairs: written(verified(pairs, texts, width, num, den))
+    least, most = F.least("n", "m"), F.greatest("n", "m")
+    first = live.join(centers, "sig").where("id <> c").select("id", "n", "c").distinct()
+    first = first.join(sizes.select(F.col("id").alias("c"), F.col("n").alias("m")), "c").where(den * least >= num * most)
+    links = check(first.select(F.col("id").alias("a"), F.col("c").alias("b")))
     found = written(components(links))
-    turn = 1
-    while True:
+    turn, last = 1, False
+    while not last:
         # Rows of buckets that still hold several components.
-        open_ = live.select("sig", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        center = F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(turn)))
-        apart = open_.groupBy("sig").agg(center.alias("_c"), F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).cast("double").alias("_n")).where("_a < _b")
-        apart = written(open_.join(apart.select("sig", "_c", "_n"), "sig"))
-        n_rows, work = apart.agg(F.count(F.lit(1)), F.sum("_n")).first()
-        if not n_rows:
-            discard(apart)
+        labelled = live.select("sig", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
+        apart = written(several_components(labelled.withColumn("component", F.coalesce("component", "id"))))
+        counted = apart.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k"), F.sum(F.col("k").cast("double") * F.col("k"))).first()
+        if not counted[0]:
+            discard(apart, shuffles=True)
             break
-        if last := work <= LARGE_BUCKETS * n_rows or turn >= TURNS:
-            other = apart.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("_other"))
-            pairs = apart.select("sig", F.col("id").alias("a"), "n", "component").join(other, "sig").where(F.col("component") < F.col("_other"))
+        last = counted[1] <= LARGE_BUCKETS * counted[0] or turn >= TURNS
+        if last:
+            pairs = across(apart, texts, width, num, den)
         else:
-            pairs = apart.select(F.col("id").alias("a"), "n", F.col("_c.id").alias("b"), F.col("_c.n").alias("m"), "component", F.col("_c.component").alias("_other")).where("component <> _other")
-        pairs = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = written(check(pairs))
-        discard(apart)
+            center = apart.groupBy("sig").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(turn))).alias("_c"))
+            pairs = apart.join(center, "sig").where(F.col("component") != F.col("_c.component")).withColumn("m", F.col("_c.n")).where(den * least >= num * most)
+            pairs = pairs.select(F.least("id", "_c.id").alias("a"), F.greatest("id", "_c.id").alias("b")).distinct()
+        more = check(pairs)
+        discard(apart, shuffles=True)
         if more.limit(1).count():
             links = links.union(more)
             found = written(components(links))
         turn += 1
-        if last:
-            break
     ids = rows.join(sets, ["n", "h1", "h2"], "left").select("id", "n", "rep")
     ids = ids.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), F.col("rep").alias("set_id"))
+
+
+def across(apart: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` of a bucket and different components that may still link.
+
+    A shingle that no text of another component has lies in no intersection with one. Texts that
+    have too many such shingles link with none of them and go first; that leaves fewer shared
+    shingles, so it is done twice. The same bound then holds back pairs.
+    """
+    rows = apart
+    for _ in range(2):
+        own = own_shingles(rows.select("id", "component").distinct(), texts, width)
+        rows = rows.drop("u").join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        rows = written(several_components(rows.where(den * (F.col("n") - F.col("u")) >= num * F.col("n"))))
+    other = rows.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("u").alias("w"), F.col("component").alias("_other"))
+    both = rows.withColumnRenamed("id", "a").join(other, "sig").where(F.col("component") < F.col("_other"))
+    shared = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("w"))
+    both = both.where(den * shared >= num * (F.col("n") + F.col("m") - shared))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
