@@ -381,6 +381,28 @@ def test_substring_dedup(spark):
     assert passage in cut[0] and not any(passage in cut[i] for i in (1, 2, 3)) and cut[13] == "" and all(cut[i] == texts[i] for i in (0, 5, 6, 8, 12))
 
 
+@pytest.mark.parametrize("kind", ["changed", "put in", "left out"])
+def test_passages_with_an_edit_anywhere(kind):
+    rng, wrong = random.Random(11), []
+    for n in (*range(50, 72), 80, 100):
+        passage = [f"p{n}_{i}" for i in range(n)]
+        b = [f"b{i}" for i in range(90)] + passage + [f"c{i}" for i in range(90)]
+        for k in range(n):
+            edited = passage[:k] + {"changed": ["new"], "put in": ["new", passage[k]], "left out": []}[kind] + passage[k + 1 :]
+            x, y = shingles(" ".join(edited), 5), shingles(" ".join(passage), 5)
+            if len(edited) < 50 or len(x & y) < 0.8 * len(x | y):
+                continue
+            a = [f"d{i}" for i in range(70)] + edited + [f"e{i}" for i in range(70)]
+            ha, hb = substring_dedup.ordered_shingles(substring_dedup.pd.Series([" ".join(a), " ".join(b)]), 5)
+            met = [(i, int(np.flatnonzero(hb == h)[0])) for i, h in enumerate(ha) if h in hb]
+            for i, j in {met[0], met[-1], rng.choice(met)}:
+                found = substring_dedup.passages(ha, hb, [(i - j, i)], 46, 0.8, False)
+                good = [(s, e) for s, e, s2, e2 in found if s <= i <= e and len(set(ha[s : e + 1]) & set(hb[s2 : e2 + 1])) >= 0.8 * len(set(ha[s : e + 1]) | set(hb[s2 : e2 + 1]))]
+                if len(good) != 1 or good[0][1] + 1 - good[0][0] < 46:
+                    wrong.append((n, k, i))
+    assert not wrong
+
+
 def test_packed_matrices(spark, encode, real):
     texts = ODD + real
     rows = packed_matrices.matrices(docs_of(spark, texts), block_tokens=20_000)
