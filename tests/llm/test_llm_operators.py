@@ -381,6 +381,21 @@ def test_substring_dedup(spark):
     assert passage in cut[0] and not any(passage in cut[i] for i in (1, 2, 3)) and cut[13] == "" and all(cut[i] == texts[i] for i in (0, 5, 6, 8, 12))
 
 
+def test_every_source_of_a_text_is_compared(spark):
+    share = 0.9
+    sources = [[f"s{k}_{i}" for i in range(60 if k else 200)] for k in range(25)]
+    parts, own = [], 0
+    for k, source in enumerate(sources):
+        copy = list(source)
+        if k:
+            copy[29] = "changed"  # similar, not equal: functions need not agree
+        parts += copy + [f"own{own + i}" for i in range(20)]
+        own += 20
+    texts = [" ".join([f"x{k}_{i}" for i in range(30)] + s) for k, s in enumerate(sources)] + [" ".join(parts)]
+    rows = substring_dedup.repeats(docs_of(spark, texts)).collect()
+    assert len({r.source_id for r in rows if r.id == 25}) >= share * 25
+
+
 @pytest.mark.parametrize("kind", ["changed", "put in", "left out"])
 def test_passages_with_an_edit_anywhere(kind):
     rng, wrong = random.Random(11), []
