@@ -396,6 +396,27 @@ def test_every_source_of_a_text_is_compared(spark):
     assert len({r.source_id for r in rows if r.id == 25}) >= share * 25
 
 
+def test_exact_repeats_behind_unrelated_texts(spark):
+    """Each passage's minima stand in phrases and in long blocks of earlier texts, several of each."""
+    rng, texts, pairs = random.Random(5), [], []
+    passages = [[f"q{k}_{i}" for i in range(50)] for k in range(6)]
+    own = iter(f"o{i}" for i in range(10**6))
+    some = lambda n: [next(own) for _ in range(n)]
+    for length in (8, 16, 30, 44):
+        for q in passages:
+            for start in range(0, 51 - length, 3):
+                texts.append(some(40) + q[start : start + length] + some(40))
+    for q in passages:
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [some(60) + q + some(60), some(rng.randrange(50, 90)) + q + some(70)]
+    texts += [some(200) for _ in range(300)]
+    boilerplate = some(48)
+    texts += [some(60) + boilerplate + some(60) for _ in range(40)]
+    found = substring_dedup.repeats(docs_of(spark, [" ".join(t) for t in texts]), similarity=0.99).collect()
+    for b, c in pairs:
+        assert any(r.id == c and r.source_id == b and r.last - r.first >= 50 for r in found)
+
+
 @pytest.mark.parametrize("kind", ["changed", "put in", "left out"])
 def test_passages_with_an_edit_anywhere(kind):
     rng, wrong = random.Random(11), []
