@@ -343,6 +343,14 @@ def test_license_texts(spark):
     assert [got[i].license for i in (k + 1, k + 2)] == [None, None]
 
 
+def test_whole_license_documents(spark):
+    """Whole licenses with a copyright line, over several lines."""
+    names = sorted(licenses.FULL_TEXTS)
+    texts = ["Copyright (c) 2020 A. Holder\n\n" + licenses.FULL_TEXTS[n].replace(". ", ".\n").replace(", ", ",\n") for n in names]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert [got[i].license for i in range(len(names))] == names and all(got[i].dice >= 0.9 for i in range(len(names)))
+
+
 def test_compact_windows():
     rng = random.Random(5)
     for _ in range(150):
