@@ -9,7 +9,7 @@ from .tables import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` for every node of ``links`` (columns ``a, b``, whole numbers).
+    """``node, component`` for every node of ``links`` (columns ``a, b``, whole numbers), written.
 
     The component is the smallest node that can be reached. Each step sends a node's neighbours
     to the smallest of them, as a grouped minimum (which combines before the shuffle) joined back,
@@ -35,4 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         if count == before:
             break
         before = count
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    least = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    found = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(least))
+    discard(edges)
+    return found

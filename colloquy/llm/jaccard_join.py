@@ -1,20 +1,26 @@
 """Operator 4, n-gram Jaccard join, by PartEnum signatures.
 
 A document is the set of its distinct word shingles; two link when their Jaccard similarity
-reaches ``num / den``. Sizes fall into bands; inside a band similar sets differ in at most k
-shingles. The hashed domain of shingles is partitioned, and subsets of the partitions are
-enumerated so that sets which differ in at most k shingles agree on all of some subset: its
-content, hashed, is a signature. Candidates share a signature; each is verified on the sets.
-
-No link between components is lost, but pairs inside a component need not be compared: every
-bucket of a signature compares its members with one of them first, and later rounds compare
-only members that are still in different components, until none is left. Documents of equal
-sets are one candidate.
+reaches ``num / den``. Sizes fall into bands; similar sets whose larger one is in a band differ in
+at most k shingles. The hashed domain of shingles is partitioned in groups of three cells, and of
+each group every two cells are a signature: their content, hashed. Of g groups, similar sets agree
+on 2 g - k signatures or more, whatever their differences are.
+
+A document whose signatures occur elsewhere fewer times than that links with nothing and goes.
+Of the others, the rarest signatures are kept, as many as leave no link out (the most frequent
+ones, one less than must agree, can't be all that a pair shares). Each signature's bucket is
+compared with two of its members, the smallest and the one with the most frequent signatures.
+Where a bucket still holds several components, a link that wasn't seen has a shingle in common
+that the smallest member lacks: were all its common shingles in the smallest member, both ends
+would link with that one. So the bucket is parted by the rarest of such shingles, and so on; what is
+left after a few turns is compared across components. No link between components is lost, and no
+bucket is paired with itself while it is large. Documents of equal sets are one candidate.
 
 Defined cases: a null text, or one without words, has no set and links with nothing, so it is
 its own component; fewer words than a shingle are one shingle; a repeated row gives a repeated
-row, and where rows of one id differ, a link of any of them counts for the id; an empty table
-gives an empty result; other columns are ignored.
+row; rows of one id with different texts are documents of their own that bear the same id; a row
+without an id has the component of an equal set, or none; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -35,10 +41,11 @@ from .word_hashes import chunks, mix, words
 
 #: The largest size of a band is this many times its smallest.
 BAND = 1.5
-#: Up to this many differences, two of three partitions at a time are enumerated.
-ENUMERATED = 15
-#: Mean size of the buckets that are left, from which they compare with one member first, and the turns of that.
-LARGE_BUCKETS, TURNS = 8, 4
+#: Sets with too few shingles for the cells of a band sign by other cells too, so many times.
+SCHEMES = 4
+#: Turns in which open buckets are parted, before what is left is compared across components.
+TURNS = 3
+_SUMMARY = -1
 
 
 @dataclass(frozen=True)
@@ -49,8 +56,7 @@ class Band:
     low: int
     high: int
     k: int
-    cells: int
-    slack: int
+    groups: int
 
 
 @lru_cache(100_000)
@@ -60,214 +66,276 @@ def band_of(size: int, num: int, den: int) -> Band:
         high = max(low, int(low * BAND))
         if size <= high:
             k = 2 * high * (den - num) // (den + num)
-            return Band(number, low, high, k, *_cells(k, low * num // den))
+            return Band(number, low, high, k, _groups(k, max(1, low * num // den)))
         number, low = number + 1, high + 1
 
 
-def _cells(k: int, least: int) -> tuple[int, int]:
-    """How many partitions there are, and how many of them may be empty in a set of ``least``.
-
-    Of k + 1 + slack partitions, slack + 1 agree, so one that isn't empty does unless more than
-    ``slack`` are empty in both sets.
-    """
-    for slack in range(k + 3):
-        n = k + 1 + slack
-        empty = n * math.exp(-least / n)
-        if empty + 3 * math.sqrt(empty) <= slack:
-            return n, slack
-    return k + 1, 0
+def _groups(k: int, least: int) -> int:
+    """Groups of three cells, so that a set of ``least`` shingles rarely has as many signatures
+    without a shingle as similar sets agree on, and some are left over that tell documents apart."""
+    g = k // 2 + 1
+    while g < 2 * k:
+        empty = 3 * g * math.exp(-2 * least / (3 * g))
+        if empty + math.sqrt(empty) + k / 20 <= 2 * g - k:
+            break
+        g += 1
+    return g
 
 
-def _salted(x: np.ndarray, *salt: int) -> np.ndarray:
-    s = np.uint64(0x243F6A8885A308D3)
-    for v in salt:
-        s = mix(np.array([s ^ np.uint64(v)]) + np.uint64(0x9E3779B97F4A7C15))[0]
-    return mix(x ^ s)
+def bands_in_reach(size: int, num: int, den: int) -> list[Band]:
+    """The band of a size, and those above in which a similar set can lie."""
+    found = [band_of(size, num, den)]
+    while den * size >= num * (found[-1].high + 1):
+        found.append(band_of(found[-1].high + 1, num, den))
+    return [b for b in found if b.k]  # with no difference only equal sets are similar, which are one already
 
 
-def _sums(cell: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    total = np.zeros(n, dtype=np.uint64)
-    np.add.at(total, cell, values)
-    return total, np.bincount(cell, minlength=n)
+def _segments(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _enumerated(shingles: np.ndarray, band: Band, salt: int, deeper: bool) -> list[np.ndarray]:
-    """Two of the three parts of each of about k / 2 first-level partitions.
+def signatures(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """Of sets (sorted distinct hashes): number of the set, entry, need, signatures.
 
-    One first-level partition has at most one difference, so two of its parts have none. A
-    subset without a shingle tells nothing; it is refined by partitions of another hash.
+    An entry is a band and a scheme of cells. Two similar sets have an entry in common in which
+    they share at least the need of either.
     """
-    n = 3 * (band.k // 2 + 1)
-    h = _salted(shingles, band.number, salt)
-    total, count = _sums((h % np.uint64(n)).astype(np.int64), mix(h), n)
-    total, count = total.reshape(-1, 3), count.reshape(-1, 3)
-    rest, left = (total.sum(1, keepdims=True) - total).ravel(), (count.sum(1, keepdims=True) - count).ravel()
-    place = np.arange(n, dtype=np.uint64)
-    found = [_salted(mix(rest + place), band.number, salt, 1)[(left > 0) | (not deeper)]]
-    for p in np.flatnonzero(left == 0) if deeper else ():
-        found += _enumerated(shingles, band, salt * 1000 + int(p) + 2, False)
+    found = []
+    todo = [(i, b, 0) for i, s in enumerate(sets) if len(s) for b in bands_in_reach(len(s), num, den)]
+    while todo:
+        later = []
+        n = np.array([len(sets[i]) for i, _, _ in todo])
+        groups = np.array([b.groups for _, b, _ in todo])
+        entry = np.array([b.number * SCHEMES + scheme for _, b, scheme in todo], dtype=np.uint64)
+        salt = mix(entry + np.uint64(0x243F6A8885A308D3))
+        h = mix(np.concatenate([sets[i] for i, _, _ in todo]) ^ np.repeat(salt, n))
+        first = _segments(3 * groups)
+        cell = np.repeat(first[:-1], n) + (h % np.repeat(3 * groups, n).astype(np.uint64)).astype(np.int64)
+        total, count = np.zeros(first[-1], np.uint64), np.bincount(cell, minlength=first[-1])
+        np.add.at(total, cell, mix(h))
+        total, count = total.reshape(-1, 3), count.reshape(-1, 3)
+        total, count = (total.sum(1, keepdims=True) - total).ravel(), (count.sum(1, keepdims=True) - count).ravel()
+        place = np.arange(first[-1]) - np.repeat(first[:-1], 3 * groups)
+        total = mix(mix(total + place.astype(np.uint64)) ^ np.repeat(salt, 3 * groups))
+        for (i, band, scheme), a, b in zip(todo, first[:-1], first[1:]):
+            told = count[a:b] > 0
+            need = 2 * band.groups - band.k - int((~told).sum())
+            signs = total[a:b][told]
+            if need < 1 and scheme + 1 < SCHEMES:
+                later.append((i, band, scheme + 1))
+            elif need < 1:  # the sets of a band that no scheme parts have one signature in common
+                signs = np.concatenate([signs, mix(np.array([band.number], np.uint64))])
+            found.append((i, band.number * SCHEMES + scheme, max(need, 1), signs))
+        todo = later
     return found
 
 
-def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of a set (sorted distinct hashes), as unsigned 64-bit numbers."""
-    size = len(shingles)
-    own = band_of(size, num, den)
-    above = band_of(own.high + 1, num, den)
-    found = []
-    for band in (own, above) if den * size >= num * above.low else (own,):
-        if band.k == 0:
-            continue  # only equal sets, which are one already
-        if band.k <= ENUMERATED:
-            found += _enumerated(shingles, band, 0, True)
-            continue
-        h = _salted(shingles, band.number)
-        total, count = _sums((h % np.uint64(band.cells)).astype(np.int64), mix(h), band.cells)
-        told = count > 0
-        if (~told).sum() > band.slack:
-            told[:] = True
-        found.append(_salted(mix(total + np.arange(band.cells, dtype=np.uint64)), band.number, 1)[told])
-    return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
-
-
-def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text, lower-cased in A-Z."""
-    for _, some in chunks(texts):
-        h, first = words([t.lower() for t in some]).shingles(width)
-        for a, b in zip(first[:-1], first[1:]):
-            yield np.unique(h[a:b])
+    h, first = words([t.lower() for t in texts]).shingles(width)
+    return [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
-def _texts(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.large_binary()).to_pylist()
-
-
-def summaries(texts: DataFrame, width: int) -> DataFrame:
-    """``id, n, h1, h2`` of ``id, text``: the size of each set and a name for it."""
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    flat, ends = np.concatenate([*sets, np.empty(0, np.uint64)]), _segments(np.array([len(s) for s in sets], np.int64))
+    total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(c)), dtype=np.uint64)])[ends] for c in (1, 2)]
+    return tuple((t[1:] - t[:-1]).astype(np.int64) for t in total)
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, h1, h2 = [], [], []
-            for s in shingle_sets(_texts(batch.column(1)), width):
-                n.append(len(s))
-                for h, c in ((h1, 1), (h2, 2)):
-                    h.append(int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2))], names=["id", "n", "h1", "h2"])
 
-    return texts.mapInArrow(summarise, "id bigint, n bigint, h1 bigint, h2 bigint")
+def _texts(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.large_binary()).to_pylist()
 
 
 def signed(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``sig, id`` of ``id, text``: a row for each signature."""
+    """Of ``id, text``: a row for each entry of a text, and one of entry -1 for the text itself;
+    n, h1, h2: the size of its set and a name for it."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            found = [signatures(s, num, den).astype(np.int64) for s in shingle_sets(_texts(batch.column(1)), width)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(ids, [len(x) for x in found]))], names=["sig", "id"])
+            for at, some in chunks(_texts(batch.column(1))):
+                sets = shingle_sets(some, width)
+                h1, h2 = set_names(sets)
+                rows = [(i, _SUMMARY, 0, np.empty(0, np.uint64)) for i in range(len(sets))] + signatures(sets, num, den)
+                own = np.array([r[0] for r in rows])
+                lists = pa.ListArray.from_arrays(pa.array(_segments(np.array([len(r[3]) for r in rows])), pa.int32()), pa.array(np.concatenate([r[3] for r in rows]).astype(np.int64)))
+                n = np.array([len(s) for s in sets], np.int64)
+                columns = [batch.column(0).take(pa.array(own + at)), *(pa.array(x[own]) for x in (n, h1, h2)), *(pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "h1", "h2", "entry", "need", "sigs"])
+
+    return texts.mapInArrow(sign, "id bigint, n bigint, h1 bigint, h2 bigint, entry int, need int, sigs array<bigint>")
+
+
+def named_sets(summaries: DataFrame) -> DataFrame:
+    """``n, h1, h2, rep, node`` of each different set: its smallest id, and a number of its own,
+    which is that id unless another set of the same id has it."""
+    sets = summaries.where("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    sets = sets.join(sets.groupBy("rep").agg(F.min("h1").alias("_first")), "rep")
+    node = F.when(F.col("h1") == F.col("_first"), F.col("rep")).otherwise(F.xxhash64("rep", "n", "h1", "h2"))
+    return sets.select("n", "h1", "h2", "rep", node.alias("node"))
+
+
+def shared_by_two(rows: DataFrame, key: str, by: str = "node") -> DataFrame:
+    """``key, many``: the keys that two or more have, and how often they occur."""
+    return rows.groupBy(key).agg(F.min(by).alias("_a"), F.max(by).alias("_b"), F.count(F.lit(1)).alias("many")).where("_a < _b").select(key, "many")
+
+
+def candidate_rows(entries: DataFrame) -> DataFrame:
+    """``key, node`` and how often the key occurs: the rarest signatures of entries that may link."""
+    entry = Window.partitionBy("node", "entry")
+    hits = entries.select("node", "entry", "need", F.explode("sigs").alias("key"))
+    for _ in range(2):  # without the entries that go, fewer signatures are shared
+        shared = written(shared_by_two(hits, "key"))
+        left = hits.drop("many").join(shared, "key").withColumn("found", F.count(F.lit(1)).over(entry)).where("found >= need")
+        left = written(left)
+        discard(shared)
+        if hasattr(hits, "_colloquy_path"):
+            discard(hits)
+        hits = left
+    place = F.row_number().over(entry.orderBy("many", "key"))
+    rows = written(hits.withColumn("_place", place).where("_place <= found - need + 1").select("key", "node", "many").distinct())
+    discard(hits)
+    return rows
+
+
+def bags(texts: DataFrame, live: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``node, n, z`` of the sets ``live`` (columns of named_sets()): the shingles that another one
+    has too, rarest first. Sets with too few of them to link are left out."""
 
-    return texts.mapInArrow(sign, "sig bigint, id bigint")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the similarity; ``texts`` has ``id, text``."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = []
-            for s, t in zip(shingle_sets(_texts(batch.column(2)), width), shingle_sets(_texts(batch.column(3)), width)):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                links.append(den * both >= num * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
-
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    both = both.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint")
-
+            for at, some in chunks(_texts(batch.column(1))):
+                sets = shingle_sets(some, width)
+                h1, h2 = set_names(sets)
+                part = batch.slice(at, len(some))
+                same = (part.column(2).to_numpy() == h1) & (part.column(3).to_numpy() == h2)
+                part = part.filter(pa.array(same))
+                kept = [s.astype(np.int64) for s, ok in zip(sets, same) if ok]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in kept], pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["node", "n", "s"])
+
+    sets = texts.join(live.select(F.col("rep").alias("id"), "node", "h1", "h2"), "id").select("node", "text", "h1", "h2")
+    sets = written(sets.mapInArrow(list_sets, "node bigint, n bigint, s array<bigint>"))
+    each = sets.select("node", "n", F.explode("s").alias("z"))
+    shared = written(shared_by_two(each, "z"))
+    rows = each.join(shared, "z").groupBy("node", "n").agg(F.collect_set(F.struct("many", "z")).alias("_z"))
+    rows = rows.where(den * F.size("_z") >= num * F.col("n")).select("node", "n", F.transform(F.sort_array("_z"), lambda e: e["z"]).alias("z"))
+    rows = written(rows)
+    discard(sets)
+    discard(shared)
+    return rows
+
+
+def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``node, c, linked, rest`` of pairs ``node, c, smallest``: whether they link, and, of the
+    shingles that c lacks, the rarest: those that a set must share one of with any set of
+    ``smallest`` shingles or more, if one of the two doesn't link with c."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, rest = [], []
+            least, n, m = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            for x, y, a, b, low in zip(batch.column(5), batch.column(6), n, m, least):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                inside = np.isin(x, y)
+                both = int(inside.sum())
+                linked.append(den * both >= num * (a + b - both))
+                if low is None:
+                    rest.append(x[:0])
+                    continue
+                need = max(1, -(-num * (a + low) // (num + den)) - both)
+                rest.append(x[~inside][: max(0, len(x) - both - need + 1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["node", "c", "linked", "rest"])
 
-def own_shingles(labelled: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``id, u`` of ``id, component``: how many shingles of a text are in no other component."""
+    both = pairs.join(sets.select("node", "n", F.col("z").alias("_x")), "node")
+    both = both.join(sets.select(F.col("node").alias("c"), F.col("n").alias("m"), F.col("z").alias("_y")), "c")
+    return both.select("node", "c", "smallest", "n", "m", "_x", "_y").mapInArrow(compare, "node bigint, c bigint, linked boolean, rest array<bigint>")
 
-    def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s.astype(np.int64) for s in shingle_sets(_texts(batch.column(2)), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "component", "s"])
 
-    sets = texts.join(labelled, "id").select("id", "component", "text").mapInArrow(list_sets, "id bigint, component bigint, s array<bigint>")
-    each = sets.select("id", "component", F.explode("s").alias("s"))
-    own = each.groupBy("s").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a = _b").select("s")
-    return each.join(own, "s", "left_semi").groupBy("id").agg(F.count_distinct("s").alias("u"))
+def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    rows = rows.join(labels.select("node", F.col("component").alias("_label")), "node", "left")
+    return rows.withColumn("component", F.coalesce("_label", "node")).drop("_label")
 
 
-def several_components(rows: DataFrame) -> DataFrame:
-    """Of bucket rows ``sig, id, n, component, ...`` those of buckets with several components."""
-    spread = rows.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("sig")
-    return rows.join(spread, "sig", "left_semi")
+def open_buckets(rows: DataFrame, key: str, *more) -> DataFrame:
+    """The keys whose members are in several components, with ``more`` aggregates."""
+    return rows.groupBy(key).agg(F.min("component").alias("_a"), F.max("component").alias("_b"), *more).where("_a < _b").drop("_a", "_b")
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, set_id`` for every id: the smallest id reachable by
+    """``doc_id, n_shingles, component_id, set_id`` for every row: the smallest id reachable by
     links, and the smallest id with the same set (null without one)."""
     every = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = written(summaries(every, width))
-    sets = written(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")))
-    representatives = every.join(sets.select(F.col("rep").alias("id")), "id", "left_semi")
-    buckets = written(signed(representatives.select("id", "text"), width, num, den))
-    shared = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sig")
-    live = written(buckets.join(shared, "sig"))
-    discard(buckets, shuffles=True)
-    sizes = rows.select("id", "n").distinct()
-    live = live.join(sizes, "id")
-    centers = live.groupBy("sig").agg(F.min("id").alias("c"))
-    texts = written(every.join(live.select("id").distinct(), "id", "left_semi").select("id", "text"))
-    check = lambda pairs: written(verified(pairs, texts, width, num, den))
-    least, most = F.least("n", "m"), F.greatest("n", "m")
-    first = live.join(centers, "sig").where("id <> c").select("id", "n", "c").distinct()
-    first = first.join(sizes.select(F.col("id").alias("c"), F.col("n").alias("m")), "c").where(den * least >= num * most)
-    links = check(first.select(F.col("id").alias("a"), F.col("c").alias("b")))
-    found = written(components(links))
-    turn, last = 1, False
-    while not last:
-        # Rows of buckets that still hold several components.
-        labelled = live.select("sig", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
-        apart = written(several_components(labelled.withColumn("component", F.coalesce("component", "id"))))
-        counted = apart.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k"), F.sum(F.col("k").cast("double") * F.col("k"))).first()
-        if not counted[0]:
-            discard(apart, shuffles=True)
-            break
-        last = counted[1] <= LARGE_BUCKETS * counted[0] or turn >= TURNS
-        if last:
-            pairs = across(apart, texts, width, num, den)
+    rows = written(signed(every, width, num, den))
+    summaries = written(rows.where(F.col("entry") == _SUMMARY).select("id", "n", "h1", "h2"))
+    sets = written(named_sets(summaries))
+    named = sets.withColumnRenamed("rep", "id")
+    entries = written(rows.where(F.col("entry") != _SUMMARY).join(named, ["id", "n", "h1", "h2"]).select("node", "entry", "need", "sigs"))
+    discard(rows)
+    found = candidate_rows(entries)
+    discard(entries)
+    labels = linked_components(found, every, sets, width, num, den)
+    ids = summaries.join(sets.select("n", "h1", "h2", "rep", "node"), ["n", "h1", "h2"], "left")
+    if labels is None:
+        ids = ids.withColumn("component_id", F.coalesce("rep", "id"))
+    else:
+        named = sets.select("node", "rep").join(labels, "node")
+        least = named.groupBy("component").agg(F.min("rep").alias("_least"))
+        ids = ids.join(labels.join(least, "component").select("node", "_least"), "node", "left")
+        ids = ids.withColumn("component_id", F.coalesce("_least", "rep", "id"))
+    return ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("set_id"))
+
+
+def linked_components(found: DataFrame, texts: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
+    """``node, component`` of the sets that link, from ``key, node, many`` of candidate_rows()."""
+    live = sets.join(found.select("node").distinct(), "node", "left_semi")
+    alike = bags(texts, live, width, num, den)
+    sizes = alike.select("node", "n", F.size("z").alias("q"))
+    fame = found.groupBy("node").agg(F.sum("many").alias("fame"))
+    members = written(sizes.join(fame, "node"))
+    buckets = written(found.select("key", "node").join(alike.select("node"), "node", "left_semi"))
+    discard(found)
+    labels = None
+    for turn in range(TURNS + 1):
+        rows = with_component(buckets.join(members, "node"), labels)
+        if turn == TURNS:
+            pairs = across(rows, num, den).withColumn("smallest", F.lit(None).cast("bigint"))
         else:
-            center = apart.groupBy("sig").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(turn))).alias("_c"))
-            pairs = apart.join(center, "sig").where(F.col("component") != F.col("_c.component")).withColumn("m", F.col("_c.n")).where(den * least >= num * most)
-            pairs = pairs.select(F.least("id", "_c.id").alias("a"), F.greatest("id", "_c.id").alias("b")).distinct()
-        more = check(pairs)
-        discard(apart, shuffles=True)
-        if more.limit(1).count():
-            links = links.union(more)
-            found = written(components(links))
-        turn += 1
-    ids = rows.join(sets, ["n", "h1", "h2"], "left").select("id", "n", "rep")
-    ids = ids.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), F.col("rep").alias("set_id"))
-
-
-def across(apart: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` of a bucket and different components that may still link.
-
-    A shingle that no text of another component has lies in no intersection with one. Texts that
-    have too many such shingles link with none of them and go first; that leaves fewer shared
-    shingles, so it is done twice. The same bound then holds back pairs.
-    """
-    rows = apart
-    for _ in range(2):
-        own = own_shingles(rows.select("id", "component").distinct(), texts, width)
-        rows = rows.drop("u").join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-        rows = written(several_components(rows.where(den * (F.col("n") - F.col("u")) >= num * F.col("n"))))
-    other = rows.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("u").alias("w"), F.col("component").alias("_other"))
-    both = rows.withColumnRenamed("id", "a").join(other, "sig").where(F.col("component") < F.col("_other"))
-    shared = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("w"))
-    both = both.where(den * shared >= num * (F.col("n") + F.col("m") - shared))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            centers = open_buckets(rows, "key", F.min(F.struct("n", "node")).alias("_small"), F.max(F.struct("fame", "node")).alias("_famous"))
+            held = written(rows.join(centers, "key").select("node", "n", F.col("_small.node").alias("_small"), F.col("_famous.node").alias("_famous")).distinct())
+            others = held.where("node <> _small")
+            small = others.join(others.groupBy("_small").agg(F.min("n").alias("smallest")), "_small").select("node", F.col("_small").alias("c"), "smallest")
+            famous = held.where("node <> _famous").select("node", F.col("_famous").alias("c"), F.lit(None).cast("bigint").alias("smallest"))
+            pairs = small.union(famous).groupBy("node", "c").agg(F.min("smallest").alias("smallest"))
+        done = written(compared(pairs, alike, num, den))
+        discard(buckets)
+        links = done.where("linked").select(F.col("node").alias("a"), F.col("c").alias("b"))
+        if links.limit(1).count():
+            before = labels
+            labels = components(links if before is None else before.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+            if before is not None:
+                discard(before)
+        if turn < TURNS:
+            rest = with_component(done.where(F.size("rest") > 0).select("c", "node", "rest"), labels)
+            rest = rest.join(open_buckets(rest, "c"), "c", "left_semi").select("c", "node", F.explode("rest").alias("z"))
+            buckets = written(rest.select(F.xxhash64("c", "z").alias("key"), "node").distinct())
+            discard(held)
+        discard(done)
+        if turn < TURNS and not buckets.limit(1).count():
+            discard(buckets)
+            break
+    discard(alike)
+    discard(members)
+    return labels
+
+
+def across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``node, c`` of a bucket and different components that may link by their sizes and
+    by the shingles that they don't have alone (q)."""
+    rows = rows.join(open_buckets(rows, "key"), "key", "left_semi")
+    other = rows.select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("q").alias("r"), F.col("component").alias("_other"))
+    both = rows.join(other, "key").where(F.col("component") < F.col("_other"))
+    most = F.least("q", "r")
+    both = both.where(den * most >= num * (F.col("n") + F.col("m") - most))
+    return both.select("node", "c").distinct()

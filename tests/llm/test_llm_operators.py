@@ -162,9 +162,8 @@ def near_copies(rng):
     return out
 
 
-@pytest.mark.parametrize("width, num, den", [(3, 90, 100), (5, 80, 100)])
-def test_jaccard_join(spark, width, num, den):
-    texts = near_copies(random.Random(width)) + ODD
+def linked_ids(texts, width, num, den):
+    """Size of the set and smallest reachable number of each text, by brute force."""
     sets = [shingles(t, width) for t in texts]
     parent = list(range(len(texts)))
 
@@ -179,14 +178,48 @@ def test_jaccard_join(spark, width, num, den):
             if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    got = {r.doc_id: r for r in jaccard_join.similar(docs_of(spark, texts), width=width, num=num, den=den).collect()}
-    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), root(i)) for i, s in enumerate(sets)}
+    return {i: (len(s), root(i)) for i, s in enumerate(sets)}
+
+
+def joined_ids(docs, width, num, den):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar(docs, width=width, num=num, den=den).collect()}
+
+
+@pytest.mark.parametrize("width, num, den", [(3, 90, 100), (5, 80, 100), (3, 50, 100)])
+def test_jaccard_join(spark, width, num, den):
+    texts = near_copies(random.Random(width)) + ODD
+    assert joined_ids(docs_of(spark, texts), width, num, den) == linked_ids(texts, width, num, den)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_of_a_large_group(spark, seed):
+    """Copies of copies of one text, longer and shorter ones: links across the group are chains."""
+    rng = random.Random(seed)
+    texts = [prose(rng, 120)]
+    for _ in range(150):
+        w = rng.choice(texts if rng.random() < 0.7 else texts[:1]).split()
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            k = rng.randrange(len(w))
+            w[k : k + rng.choice([0, 1, 1, 4])] = rng.choices([f"x{rng.randrange(9)}", "a", "b"], k=rng.choice([0, 1, 1, 2]))
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    assert joined_ids(docs_of(spark, texts), 3, 90, 100) == linked_ids(texts, 3, 90, 100)
+    assert joined_ids(docs_of(spark, texts), 5, 80, 100) == linked_ids(texts, 5, 80, 100)
+
+
+def test_jaccard_join_of_rows_of_one_id(spark):
+    """Rows of one id with different texts are documents of their own; equal rows are one."""
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(5, a), (5, b), (5, a), (3, a), (4, b), (9, None), (9, a), (None, b)]
+    got = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 4), (3, 3), (4, 4), (5, 3), (5, 3), (5, 4), (9, 3), (9, 9)]
 
 
-def test_similar_sets_share_a_signature():
+def test_similar_sets_share_signatures():
     rng = np.random.default_rng(2)
-    for num, den in ((90, 100), (80, 100)):
-        for size in (9, 10, 15, 30, 80, 200, 1000, 3000):
+    for num, den in ((90, 100), (80, 100), (50, 100)):
+        for size in (3, 9, 10, 15, 30, 80, 200, 1000, 3000):
             for _ in range(10):
                 a = np.unique(rng.integers(1, 1 << 63, size, dtype=np.uint64))
                 cut = rng.integers(0, len(a) * (den - num) // den + 1)
@@ -195,7 +228,9 @@ def test_similar_sets_share_a_signature():
                 both = len(np.intersect1d(a, b))
                 if den * both < num * (len(a) + len(b) - both) or len(a) == both == len(b):
                     continue
-                assert len(np.intersect1d(jaccard_join.signatures(a, num, den), jaccard_join.signatures(b, num, den))), (size, cut)
+                found = [{e: (need, set(s.tolist())) for k, e, need, s in jaccard_join.signatures([a, b], num, den) if k == i} for i in (0, 1)]
+                met = [e for e in found[0] if e in found[1]]
+                assert any(len(found[0][e][1] & found[1][e][1]) >= max(found[0][e][0], found[1][e][0]) for e in met), (size, cut)
 
 
 def test_components(spark):
