@@ -44,7 +44,7 @@ BAND = 1.5
 #: Sets with too few shingles for the cells of a band sign by other cells too, so many times.
 SCHEMES = 4
 #: Turns in which open buckets are parted, before what is left is compared across components.
-TURNS = 3
+TURNS = 2
 _SUMMARY = -1
 
 
@@ -175,21 +175,22 @@ def named_sets(summaries: DataFrame) -> DataFrame:
     return sets.select("n", "h1", "h2", "rep", node.alias("node"))
 
 
-def shared_by_two(rows: DataFrame, key: str, by: str = "node") -> DataFrame:
-    """``key, many``: the keys that two or more have, and how often they occur."""
-    return rows.groupBy(key).agg(F.min(by).alias("_a"), F.max(by).alias("_b"), F.count(F.lit(1)).alias("many")).where("_a < _b").select(key, "many")
+def shared(rows: DataFrame, key: str) -> DataFrame:
+    """``key, many``: the keys that occur twice or more, and how often. Rows that repeat a document
+    count again, so that some keys of one document alone stay; that leaves more to compare only."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
 
 
 def candidate_rows(entries: DataFrame) -> DataFrame:
     """``key, node`` and how often the key occurs: the rarest signatures of entries that may link."""
     entry = Window.partitionBy("node", "entry")
     hits = entries.select("node", "entry", "need", F.explode("sigs").alias("key"))
-    for _ in range(2):  # without the entries that go, fewer signatures are shared
-        shared = written(shared_by_two(hits, "key"))
-        left = hits.drop("many").join(shared, "key").withColumn("found", F.count(F.lit(1)).over(entry)).where("found >= need")
+    for turn in range(2):  # without the entries that go, fewer signatures are shared
+        often = written(shared(hits, "key"))
+        left = hits.drop("many", "found").join(often, "key").withColumn("found", F.count(F.lit(1)).over(entry)).where("found >= need")
         left = written(left)
-        discard(shared)
-        if hasattr(hits, "_colloquy_path"):
+        discard(often)
+        if turn:
             discard(hits)
         hits = left
     place = F.row_number().over(entry.orderBy("many", "key"))
@@ -213,18 +214,41 @@ def bags(texts: DataFrame, live: DataFrame, width: int, num: int, den: int) -> D
                 kept = [s.astype(np.int64) for s, ok in zip(sets, same) if ok]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in kept], pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["node", "n", "s"])
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of node and z, to one row for each node; a node is cut by batches only."""
+        node = n = z = np.empty(0, np.int64)
+        for batch in _then_none(batches):
+            if batch is not None:
+                node, n, z = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((node, n, z)))
+            if not len(node):
+                continue
+            last = len(node) if batch is None else int(np.searchsorted(node, node[-1]))
+            once = np.flatnonzero(np.concatenate([[True], (np.diff(node[:last]) != 0) | (np.diff(z[:last]) != 0)])[:last])
+            own, first, count = np.unique(node[once], return_index=True, return_counts=True)
+            size = n[once][first]
+            told = np.flatnonzero(den * count >= num * size)
+            lists = [z[once][first[k] : first[k] + count[k]] for k in told]
+            yield pa.RecordBatch.from_arrays([pa.array(own[told]), pa.array(size[told]), pa.array(lists, pa.list_(pa.int64()))], names=["node", "n", "z"])
+            node, n, z = node[last:], n[last:], z[last:]
+
     sets = texts.join(live.select(F.col("rep").alias("id"), "node", "h1", "h2"), "id").select("node", "text", "h1", "h2")
     sets = written(sets.mapInArrow(list_sets, "node bigint, n bigint, s array<bigint>"))
     each = sets.select("node", "n", F.explode("s").alias("z"))
-    shared = written(shared_by_two(each, "z"))
-    rows = each.join(shared, "z").groupBy("node", "n").agg(F.collect_set(F.struct("many", "z")).alias("_z"))
-    rows = rows.where(den * F.size("_z") >= num * F.col("n")).select("node", "n", F.transform(F.sort_array("_z"), lambda e: e["z"]).alias("z"))
-    rows = written(rows)
+    often = written(shared(each, "z"))
+    # Six bits of rarity before the rest of the hash: the order of numbers is that of rarity.
+    ranked = F.shiftleft(F.floor(F.log2("many")), 57).bitwiseOR(F.shiftrightunsigned("z", 7))
+    rows = each.join(often, "z").select("node", "n", ranked.alias("z")).repartition("node").sortWithinPartitions("node", "z")
+    rows = written(rows.mapInArrow(gather, "node bigint, n bigint, z array<bigint>"))
     discard(sets)
-    discard(shared)
+    discard(often)
     return rows
 
 
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``node, c, linked, rest`` of pairs ``node, c, smallest``: whether they link, and, of the
     shingles that c lacks, the rarest: those that a set must share one of with any set of
@@ -254,7 +278,7 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("component", F.col("node"))
-    rows = rows.join(labels.select("node", F.col("component").alias("_label")), "node", "left")
+    rows = rows.join(labels.groupBy("node").agg(F.min("component").alias("_label")), "node", "left")
     return rows.withColumn("component", F.coalesce("_label", "node")).drop("_label")
 
 
@@ -313,7 +337,8 @@ def linked_components(found: DataFrame, texts: DataFrame, sets: DataFrame, width
         links = done.where("linked").select(F.col("node").alias("a"), F.col("c").alias("b"))
         if links.limit(1).count():
             before = labels
-            labels = components(links if before is None else before.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+            links = links if before is None else links.union(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            labels = components(links, steps=2 if turn < TURNS else None)
             if before is not None:
                 discard(before)
         if turn < TURNS:
@@ -327,6 +352,10 @@ def linked_components(found: DataFrame, texts: DataFrame, sets: DataFrame, width
             break
     discard(alike)
     discard(members)
+    if labels is not None and turn < TURNS:
+        before = labels
+        labels = components(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        discard(before)
     return labels
 
 
