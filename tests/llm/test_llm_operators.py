@@ -472,7 +472,7 @@ def test_passages_with_an_edit_anywhere(kind):
             if len(edited) < 50 or len(x & y) < 0.8 * len(x | y):
                 continue
             a = [f"d{i}" for i in range(70)] + edited + [f"e{i}" for i in range(70)]
-            ha, hb = substring_dedup.ordered_shingles(substring_dedup.pd.Series([" ".join(a), " ".join(b)]), 5)
+            ha, hb = (word_hashes.words([" ".join(t).encode()]).shingles(5)[0] for t in (a, b))
             met = [(i, int(np.flatnonzero(hb == h)[0])) for i, h in enumerate(ha) if h in hb]
             for i, j in {met[0], met[-1], rng.choice(met)}:
                 found = substring_dedup.passages(ha, hb, [(i - j, i)], 46, 0.8, False)
@@ -520,3 +520,73 @@ def test_edited_digest(spark):
         third = len(t) // 3
         assert r.edited_sha256 == hashlib.sha256((t[: len(t) - third] + texts[following[r.doc_id]][:third]).encode()).hexdigest()
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+
+
+def covered_words(spark, texts):
+    rows = substring_dedup.repeats(docs_of(spark, texts)).collect()
+    places = collections.defaultdict(set)
+    for r in rows:
+        places[r.id].update(range(r["first"], r["last"]))
+    return places
+
+
+@pytest.mark.parametrize("seed, common", [(1, 30), (2, 40)])
+def test_exact_repeats_with_common_words_inside(spark, seed, common):
+    """Passages of 60 words, each in two texts, that all hold the same words in their middle."""
+    rng = random.Random(seed)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    middle, side = fresh(common), (60 - common) // 2
+    passages = [f"{fresh(side)} {middle} {fresh(60 - common - side)}" for _ in range(150)]
+    texts = [f"{fresh(70)} {p} {fresh(70)}" for p in passages + passages]
+    places = covered_words(spark, texts)
+    assert all(len(places[i] & set(range(70, 130))) >= 48 for i in range(150, 300))
+    assert sum(len(places[i]) for i in range(150)) == 0
+
+
+def test_recall_of_near_repeats(spark):
+    """Passages of 60 to 100 words of Jaccard similarity 0.8 or a little more, by brute force."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    first, second, wanted = [], [], []
+    for _ in range(200):
+        p = fresh(rng.randrange(50, 101))
+        q = list(p)
+        while True:
+            r = list(q)
+            k = rng.randrange(len(r))
+            r[k : k + rng.choice([0, 1, 1])] = fresh(rng.choice([1, 1, 2]))
+            a, b = shingles(" ".join(p), 5), shingles(" ".join(r), 5)
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            q = r
+        first.append(" ".join(fresh(40) + p + fresh(40)))
+        second.append(" ".join(fresh(40) + q + fresh(40)))
+        wanted.append(set(range(40, 40 + len(q))))
+    places = covered_words(spark, first + second)
+    assert sum(len(places[200 + i] & w) >= 0.8 * len(w) for i, w in enumerate(wanted)) >= 190
+    assert sum(len(places[200 + i] - w) for i, w in enumerate(wanted)) < 200 * 20
+
+
+def test_repeats_of_rows_of_one_id(spark):
+    rng = random.Random(5)
+    a, b, c = prose(rng, 80), prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (2, f"{a} x {b}"), (2, c), (2, c), (3, b), (4, c), (4, a), (None, a), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeats(docs)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in substring_dedup.without_repeats(docs, found).collect())
+    assert (0, a) in kept and (1, a) in kept and (5, "") in kept
+    assert [i for i, t in kept if a in t] == [0, 1]
+    assert len([i for i, t in kept if b in t]) == 1
+    assert len({i for i, t in kept if c in t}) == 1
+    assert substring_dedup.cut_words("a b", [(10, 20)]) == "a b"
+
+
+def test_reach_of_windows_may_be_bounded():
+    rng = np.random.default_rng(4)
+    h = np.concatenate([[0], rng.integers(1, 60, 300), [0], rng.integers(1, 1 << 60, 200), [0]]).astype(np.uint64)
+    for width in (5, 46):
+        left, c, right = substring_dedup.compact_windows(h, width)
+        near = substring_dedup.compact_windows(h, width, width - 1)
+        assert np.array_equal(c, near[1])
+        assert np.array_equal(np.minimum(c - left, width - 1), np.minimum(c - near[0], width - 1))
+        assert np.array_equal(np.minimum(right - c, width - 1), np.minimum(near[2] - c, width - 1))
