@@ -148,8 +148,8 @@ def _texts(column: pa.Array) -> list[bytes | None]:
 
 
 def signed(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Of ``id, text``: a row for each entry of a text, and one of entry -1 for the text itself;
-    n, h1, h2: the size of its set and a name for it."""
+    """Of ``id, text, text_hash``: a row for each entry of a text, and one of entry -1 for the text
+    itself; n, h1, h2: the size of its set and a name for it."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,10 +160,10 @@ def signed(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 own = np.array([r[0] for r in rows])
                 lists = pa.ListArray.from_arrays(pa.array(_segments(np.array([len(r[3]) for r in rows])), pa.int32()), pa.array(np.concatenate([r[3] for r in rows]).astype(np.int64)))
                 n = np.array([len(s) for s in sets], np.int64)
-                columns = [batch.column(0).take(pa.array(own + at)), *(pa.array(x[own]) for x in (n, h1, h2)), *(pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "h1", "h2", "entry", "need", "sigs"])
+                columns = [*(batch.column(k).take(pa.array(own + at)) for k in (0, 2)), *(pa.array(x[own]) for x in (n, h1, h2)), *(pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "n", "h1", "h2", "entry", "need", "sigs"])
 
-    return texts.mapInArrow(sign, "id bigint, n bigint, h1 bigint, h2 bigint, entry int, need int, sigs array<bigint>")
+    return texts.select("id", "text", "text_hash").mapInArrow(sign, "id bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint, entry int, need int, sigs array<bigint>")
 
 
 def named_sets(summaries: DataFrame) -> DataFrame:
@@ -288,11 +288,12 @@ def open_buckets(rows: DataFrame, key: str, *more) -> DataFrame:
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, set_id`` for every row: the smallest id reachable by
-    links, and the smallest id with the same set (null without one)."""
+    """``doc_id, n_shingles, component_id, set_id, text_hash, first`` for every row: the smallest id
+    reachable by links, the smallest id with the same set (null without one), Spark's xxhash64 of
+    the text, and whether this is the one text of its component that stays if copies go."""
     every = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = written(signed(every, width, num, den))
-    summaries = written(rows.where(F.col("entry") == _SUMMARY).select("id", "n", "h1", "h2"))
+    rows = written(signed(every.withColumn("text_hash", F.xxhash64("text")), width, num, den))
+    summaries = written(rows.where(F.col("entry") == _SUMMARY).select("id", "text_hash", "n", "h1", "h2"))
     sets = written(named_sets(summaries))
     named = sets.withColumnRenamed("rep", "id")
     entries = written(rows.where(F.col("entry") != _SUMMARY).join(named, ["id", "n", "h1", "h2"]).select("node", "entry", "need", "sigs"))
@@ -300,15 +301,17 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = candidate_rows(entries)
     discard(entries)
     labels = linked_components(found, every, sets, width, num, den)
-    ids = summaries.join(sets.select("n", "h1", "h2", "rep", "node"), ["n", "h1", "h2"], "left")
+    least = summaries.where("n > 0").groupBy("n", "h1", "h2", "id").agg(F.min("text_hash").alias("_hash"))
+    least = least.join(sets.select("n", "h1", "h2", F.col("rep").alias("id"), "rep", "node"), ["n", "h1", "h2", "id"]).drop("id")
     if labels is None:
-        ids = ids.withColumn("component_id", F.coalesce("rep", "id"))
+        least = least.select("n", "h1", "h2", "rep", "_hash", F.col("rep").alias("_least"), F.col("node").alias("_first"), "node")
     else:
-        named = sets.select("node", "rep").join(labels, "node")
-        least = named.groupBy("component").agg(F.min("rep").alias("_least"))
-        ids = ids.join(labels.join(least, "component").select("node", "_least"), "node", "left")
-        ids = ids.withColumn("component_id", F.coalesce("_least", "rep", "id"))
-    return ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("set_id"))
+        linked = sets.select("node", "rep").join(labels, "node")
+        linked = linked.join(linked.groupBy("component").agg(F.min("rep").alias("_least"), F.min_by("node", F.struct("rep", "node")).alias("_first")), "component")
+        least = least.join(linked.select("node", "_least", "_first"), "node", "left")
+    ids = summaries.join(least, ["n", "h1", "h2"], "left")
+    first = F.col("node").isNull() | (F.col("node") == F.coalesce("_first", "node")) & (F.col("id") == F.col("rep")) & (F.col("text_hash") == F.col("_hash"))
+    return ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_least", "rep", "id").alias("component_id"), F.col("rep").alias("set_id"), "text_hash", F.coalesce(first, F.lit(False)).alias("first"))
 
 
 def linked_components(found: DataFrame, texts: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame | None:

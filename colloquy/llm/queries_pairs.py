@@ -10,7 +10,7 @@ from .tables import table
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return jaccard_join.similar(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("text_hash", "first")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,15 @@ def test_rows_without_an_id_do_no_harm(spark, tmp_path, name):
     assert query(spark, str(tmp_path)).count() >= (0 if name == "op9_substring_dedup" else 1)
 
 
+def test_near_duplicates_of_rows_of_one_id(spark):
+    rng = random.Random(3)
+    a, b, c = prose(rng, 90), prose(rng, 90), prose(rng, 90)
+    rows = [(5, a), (5, b), (3, a), (6, c), (6, c), (7, b + " x"), (8, None), (8, ""), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, c), (3, a), (5, b), (6, c), (8, ""), (8, "")])
+
+
 def test_pipeline_of_odd_texts_and_of_nothing(spark, tmp_path):
     rng = random.Random(9)
     docs = docs_of(spark, ODD + [prose(rng, 200) for _ in range(5)])
@@ -191,7 +200,7 @@ def test_jaccard_join(spark, width, num, den):
     assert joined_ids(docs_of(spark, texts), width, num, den) == linked_ids(texts, width, num, den)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_jaccard_join_of_a_large_group(spark, seed):
     """Copies of copies of one text, longer and shorter ones: links across the group are chains."""
     rng = random.Random(seed)
