@@ -6,11 +6,11 @@ clean return the columns of their input, whatever those are; the last returns th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import jaccard_join, language, packing, quality, substring_dedup
-from colloquy.llm.tables import table, written
+from colloquy.llm.tables import discard, table, written
 
 #: Documents whose language is less certain than this go.
 MIN_SCORE = 0.5
@@ -24,7 +24,7 @@ def _whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the policy v1 of the quality rules."""
+    """Documents that pass the policy v1 of the quality rules. A null text has no words and goes."""
     return quality.passing(_whole_rows(docs), "v1", keep=("_row",)).select("_row.*")
 
 
@@ -41,22 +41,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group linked by 5-word shingles at 0.8 or more.
+    """One document of each group linked by 5-word shingles at 0.8 or more: that of the smallest id.
 
-    Documents without an id can't be grouped and stay.
+    Rows of one id with different texts are documents of their own; of equal rows one stays.
+    Documents without words are groups of their own, and those without an id can't be grouped:
+    all of them stay.
     """
-    groups = jaccard_join.similar(docs, width=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = _whole_rows(docs).join(first, "doc_id", "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = kept.withColumn("_n", once).where("_n = 1").select("_row.*")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    groups = written(jaccard_join.similar(docs, width=5, num=80, den=100).where("first AND doc_id IS NOT NULL").groupBy("doc_id", "text_hash").count())
+    rows = _whole_rows(docs).withColumn("text_hash", F.xxhash64("text")).join(groups, ["doc_id", "text_hash"])
+    if groups.where("count > 1").limit(1).count():
+        again = rows.where("count > 1").groupBy("doc_id", "text_hash").agg(F.first("_row").alias("_row"))
+        rows = rows.where("count = 1").select("_row").unionByName(again.select("_row"))
+    return rows.select("_row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier one has; n_chars follows the text.
 
-    A document goes when nothing but repeated passages was in it.
+    A document goes when nothing but repeated passages was in it, or no word at all. Rows without an
+    id stay as they are; rows of one id with different texts lose what was found in each.
     """
     found = written(substring_dedup.repeats(docs))
     cut = substring_dedup.without_repeats(docs, found)
@@ -80,10 +83,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each one's result written before the next."""
+    """All stages over the table documents, each one's result written before the next.
+
+    What the result reads stays in the shared folder; ``clear`` of colloquy.llm.tables deletes it.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs)
+    for k, (_, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            done = written(done)
+            if k:
+                discard(docs)
+        docs = done
     return docs
