@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The subsets of the corpus.
+SUBSETS = ["0S", "0L", "OV10", "OV20", "OV30", "OV40"]
+
+
 def first_match(*found: Column) -> Column:
     """The first of some extractions that isn't empty."""
     return F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
@@ -18,8 +22,9 @@ def subset(name: Column) -> Column:
     """
     ratio = F.regexp_extract(name, r"overlap_ratio_(\d+)\.\d+_sil(\d+\.\d+)_", 1)
     silence = F.regexp_extract(name, r"overlap_ratio_(\d+)\.\d+_sil(\d+\.\d+)_", 2)
-    long_form = F.when(ratio == "", None).when(ratio != "0", F.concat(F.lit("OV"), ratio)).when(F.try_to_number(silence, F.lit("9.9")) >= 1, "0L").otherwise("0S")
-    return F.coalesce(long_form, first_match(F.regexp_extract(name, r"(?:^|_)(OV\d+|0S|0L)(?:_|$)", 1)))
+    long_form = F.when(ratio == "", None).when(ratio != "0", F.concat(F.lit("OV"), ratio)).when(silence.cast("double") >= 1, "0L").otherwise("0S")
+    found = F.coalesce(long_form, first_match(F.regexp_extract(name, r"(?:^|_)(OV\d+|0S|0L)(?:_|$)", 1)))
+    return F.when(found.isin(SUBSETS), found)
 
 
 def split_of(name: Column) -> Column:

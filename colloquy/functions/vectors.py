@@ -17,10 +17,15 @@ def upsample(a: Column, times: int, length: int | Column) -> Column:
     return F.slice(F.flatten(F.transform(a, lambda x: F.array_repeat(x, times))), F.lit(1), F.lit(length) if isinstance(length, int) else length)
 
 
+def _unit(x: Column) -> Column:
+    """What isn't finite counts as 0; anything else outside of [0, 1] is an error."""
+    x = F.when(F.isnan(x) | x.isNull() | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+    return F.when((x >= 0) & (x <= 1), x).otherwise(F.raise_error(F.lit("values are outside of [0, 1]")).cast("double"))
+
+
 def mulaw(x: Column) -> Column:
     """A value of [0, 1] as a whole number of [0, 255]; what isn't finite counts as 0."""
-    x = F.when(F.isnan(x) | x.isNull() | (F.abs(x) == float("inf")), 0.0).otherwise(x)
-    x = F.when((x >= 0) & (x <= 1), x).otherwise(F.raise_error(F.lit("values are outside of [0, 1]")).cast("double"))
+    x = _unit(x)
     return F.rint(255 * F.log(1 + 255 * x) / F.log(F.lit(256.0))).cast("int")
 
 
@@ -29,7 +34,7 @@ def inverse_mulaw(q: Column) -> Column:
 
 
 def eight_bit(x: Column) -> Column:
-    return F.rint(255 * x).cast("int")
+    return F.rint(255 * _unit(x)).cast("int")
 
 
 def random_crop(a: Column, length: int, seed: int, least: int | None = None) -> Column:

@@ -33,9 +33,14 @@ def median_filter(frames: DataFrame, keys: list[str], size: int, value: str = "p
 
 
 def max_normalised(frames: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Absolute values over their maximum in the key; zero stays zero."""
-    top = F.max(F.abs(value)).over(Window.partitionBy(*keys))
-    return frames.withColumn(value, F.coalesce(F.abs(value) / F.nullif(top, F.lit(0)), F.lit(0.0)))
+    """Absolute values over their maximum in the key; zero stays zero.
+
+    The maxima are aggregated and joined back, so that a key with many rows isn't one task.
+    """
+    tops = frames.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.max(F.abs(value)).alias("_top"))
+    joined = frames.join(tops, [frames[k].eqNullSafe(tops[f"_key{i}"]) for i, k in enumerate(keys)], "left")
+    normal = F.coalesce(F.abs(value) / F.nullif(F.col("_top"), F.lit(0)), F.lit(0.0))
+    return joined.withColumn(value, normal).select(*frames.columns)
 
 
 def tiles(regions: DataFrame, length: int, hop: int, start: Column, stop: Column) -> DataFrame:

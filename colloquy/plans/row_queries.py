@@ -209,15 +209,18 @@ def mulaw_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsample_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", vectors.upsample(F.slice("embedding", 1, 4), 4, 14).alias("v"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", vectors.upsample(F.col("embedding"), 4, 250).alias("v"))
 
 
 def edge_padded_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", vectors.edge_slice(F.slice("embedding", 1, 10), -3, 13).alias("v"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", vectors.edge_slice(F.col("embedding"), -3, 70).alias("v"))
 
 
 def mixup_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select("vec_id", vectors.mixed_halves(F.col("embedding"), 32).alias("v"))
+    """Every vector: the chosen ones with their halves mixed, the others cropped to the first half."""
+    mixed = F.col("label") < 5
+    v = F.when(mixed, vectors.mixed_halves(F.col("embedding"), 32)).otherwise(F.slice("embedding", 1, 32))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce(mixed, F.lit(False)).alias("mixed"), v.alias("v"))
 
 
 def word_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +291,7 @@ m AS (SELECT k.key, max(CASE WHEN p.key = k.key THEN value END) AS exact, min(va
     "json_path_access": "WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, k AS first, k + 2 AS last, [k, k + 1] AS two, [k + 2, k + 1, k] AS back FROM k",
     "mulaw_quantise": """WITH x AS (SELECT event_id, (event_id % 1000)::DOUBLE / 999.0::DOUBLE AS x FROM events), q AS (SELECT event_id, CAST(round_even(255.0::DOUBLE * ln(1 + 255.0::DOUBLE * x) / ln(256.0::DOUBLE), 0) AS INT) AS q, CAST(round_even(255.0::DOUBLE * x, 0) AS INT) AS linear FROM x)
 SELECT event_id, q, round((pow(256.0::DOUBLE, q / 255.0::DOUBLE) - 1) / 255.0::DOUBLE, 9) AS back, linear FROM q""",
-    "upsample_repeat": "SELECT vec_id, list_transform(generate_series(0, 13), lambda i: embedding[CAST(floor(i / 4) AS INT) + 1]) AS v FROM embeddings",
-    "edge_padded_slice": "SELECT vec_id, list_transform(generate_series(-3, 12), lambda i: embedding[CAST(least(greatest(i, 0), 9) AS INT) + 1]) AS v FROM embeddings",
-    "mixup_halves": "SELECT vec_id, list_transform(generate_series(1, 32), lambda i: embedding[CAST(i AS INT)] + embedding[CAST(i AS INT) + 32]) AS v FROM embeddings WHERE vec_id % 2 = 0",
+    "upsample_repeat": "SELECT vec_id, list_transform(generate_series(0, 249), lambda i: embedding[CAST(floor(i / 4) AS INT) + 1]) AS v FROM embeddings",
+    "edge_padded_slice": "SELECT vec_id, list_transform(generate_series(-3, 69), lambda i: embedding[CAST(least(greatest(i, 0), 63) AS INT) + 1]) AS v FROM embeddings",
+    "mixup_halves": "SELECT vec_id, coalesce(label < 5, false) AS mixed, CASE WHEN label < 5 THEN list_transform(generate_series(1, 32), lambda i: embedding[CAST(i AS INT)] + embedding[CAST(i AS INT) + 32]) ELSE embedding[1:32] END AS v FROM embeddings",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,17 @@ def speaker_lists(utt2spk: DataFrame) -> DataFrame:
 
 
 def seglst(rows: DataFrame, path: str) -> None:
-    """JSON lines; decimal columns keep all their digits."""
-    rows.write.json(path)
+    """One JSON list in each part file; decimal columns keep all their digits."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opening = "["
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([opening + line])], names=["value"])
+                opening = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if opening == "," else "[]"])], names=["value"])
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(listed, "value string").write.text(path)
 
 
 def database(rows: DataFrame, path: str) -> None:

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that aren't blank, with their file and place in it."""
-    at = F.col("_metadata")
-    rows = spark.read.text(path).select(F.trim("value").alias("line"), at["file_path"].alias("file"), at["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("line_no"))
-    return rows.where("line <> ''").drop("_block")
+    """Lines that aren't blank, with their file and place: file, block and number, in that order.
+
+    A number rises inside a block; files and blocks are read in any order.
+    """
+    meta = F.col("_metadata")
+    place = F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line_no"))
+    return spark.read.text(path).select(F.trim("value").alias("line"), meta["file_path"].alias("file"), place.alias("place")).where("line <> ''")
 
 
 def key_value(spark: SparkSession, path: str) -> DataFrame:
-    """``key, value``: cut at the first white space, '' for no value; the last of equal keys."""
+    """``key, value``: cut at the first white space, '' for no value; the last of equal keys, files by name."""
     parts = F.split("line", r"\s+", 2)
-    rows = _lines(spark, path).select(F.get(parts, 0).alias("key"), F.coalesce(F.get(parts, 1), F.lit("")).alias("value"), "line_no")
-    return rows.groupBy("key").agg(F.max_by("value", "line_no").alias("value"))
+    rows = _lines(spark, path).select(F.get(parts, 0).alias("key"), F.coalesce(F.get(parts, 1), F.lit("")).alias("value"), "place")
+    return rows.groupBy("key").agg(F.max_by("value", "place").alias("value"))
 
 
 def durations(spark: SparkSession, path: str) -> DataFrame:

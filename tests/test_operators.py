@@ -264,3 +264,26 @@ def test_streaming_sessions(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("sessions").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.user_id, r.n_events) for r in spark.table("sessions").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_segment_lists_come_back_whole(spark, tmp_path):
+    """A list in each part, read again: every row, however many there are in a file."""
+    rows = spark.range(0, 100, 1, 3).selectExpr("concat('s', id) AS session_id", "concat('p', id % 4) AS speaker", "CAST(id AS DECIMAL(18,7)) AS start_time", "CAST(id + 0.1234567 AS DECIMAL(18,7)) AS end_time")
+    sinks.seglst(rows, f"{tmp_path}/lists")
+    back = documents.seglst(spark, f"{tmp_path}/lists").select(rows.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    sinks.seglst(rows.limit(0), f"{tmp_path}/none")
+    assert documents.seglst(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_last_of_equal_keys_over_files(spark, tmp_path):
+    (tmp_path / "a").write_text("k old\n")
+    (tmp_path / "b").write_text("".join(f"x{i} {i}\n" for i in range(5000)) + "k new\n")
+    got = {r.key: r.value for r in texts.key_value(spark, str(tmp_path)).collect()}
+    assert got["k"] == "new" and len(got) == 5001
+
+
+def test_subsets_are_a_closed_table(spark):
+    names = ["overlap_ratio_15.0_sil0.1_1.0_session1_actual9.9", "session1_OV99", "session1_OV20", "overlap_ratio_0.0_sil10.5_11.0_session1_actual0.0"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(ids.subset(F.col("n")).alias("s")).collect()
+    assert [r.s for r in rows] == [None, None, "OV20", "0L"]
