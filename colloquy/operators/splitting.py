@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import frames, intervals
+
 
 def optimal(candidates: Sequence[int], start: int, stop: int, max_len: int) -> list[int]:
     """Fewest splits with no piece over max_len (but where no candidate lies inside one), then
@@ -48,6 +50,22 @@ def partial(candidates: Sequence[int], start: int, stop: int, max_len: int, redo
     return fixed + optimal([c for c in candidates if c > at], at, stop, max_len)
 
 
+def quiet_centres(frames_: DataFrame, keys: list[str], *, kernel: int = 21, threshold: float = 0.2, border: int = 20, value: str = "p", frame: str = "frame") -> DataFrame:
+    """``*keys, s, e, candidates`` of segments given as their frames from 0 on, none left out.
+
+    Candidates are the centres of the runs whose dilated value is at most the threshold, if they lie
+    ``border`` frames or more from both ends. A segment without any has an empty array.
+    """
+    wide = frames.max_filter(frames_, keys, kernel, value, frame)
+    sizes = frames_.groupBy(*keys).agg((F.max(frame) + 1).alias("_n"))
+    runs = intervals.islands(wide.where(F.col(value) <= threshold), keys, frame).join(sizes, keys)
+    runs = runs.where((F.col("s") >= border) & (F.col("_n") - F.col("e") >= border))
+    centres = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.floor((F.col("s") + F.col("e")) / 2))).alias("candidates"))
+    rows = sizes.join(centres, keys, "left")
+    none = F.array().cast("array<bigint>")
+    return rows.select(*keys, F.lit(0).cast("bigint").alias("s"), F.col("_n").cast("bigint").alias("e"), F.coalesce("candidates", none).alias("candidates"))
+
+
 METHODS = {"optimal": optimal, "greedy": greedy, "partial": partial}
 
 

@@ -142,14 +142,17 @@ def sox_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("session", "speaker", vectors.trim_command(path, F.col("i")).alias("command"))
 
 
+def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The minutes of each day at which a speaker's track can be cut: centres of quiet stretches."""
+    day = F.unix_micros(F.col("session").cast("timestamp"))
+    counts = utterances(spark, sf_dir).groupBy("session", "speaker", F.floor((F.col("s") - day) / MINUTE).alias("frame")).agg(F.count(F.lit(1)).alias("p"))
+    minutes = counts.select("session", "speaker").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1439).cast("bigint"))))
+    track = minutes.join(counts, ["session", "speaker", "frame"], "left").withColumn("p", F.coalesce("p", F.lit(0)))
+    return splitting.quiet_centres(track, ["session", "speaker"], kernel=3)
+
+
 def _split(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    spans = iv.union(utterances(spark, sf_dir), ["session"])
-    starts = utterances(spark, sf_dir).select("session", F.col("s").alias("at"))
-    whole = spans.groupBy("session").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    hours = starts.groupBy("session", F.floor(F.col("at") / (30 * MINUTE)).alias("_h")).agg(F.min("at").alias("at"))
-    inner = hours.join(whole, "session").where("at > s AND at < e")
-    candidates = inner.groupBy("session", "s", "e").agg(F.sort_array(F.collect_list("at")).alias("candidates"))
-    return splitting.split_long(candidates, 90 * MINUTE, method=method, margin=0)
+    return splitting.split_long(split_candidates(spark, sf_dir), 90, method=method, margin=1)
 
 
 def split_long_segments_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +172,7 @@ QUERIES = {
     for f in (
         overlap_free_activity, interval_union, interval_complement, interval_and, interval_subtract, overlap_depth_profile, active_ratio,
         gap_islands_per_user, dilated_islands, hysteresis_runs, closing_threshold, median_filter, max_normalise, chunk_tiles, tile_assign,
-        consecutive_differences, sorted_turns, context_clip, noise_class, frame_to_sample_to_second, three_roundings, sox_command,
+        consecutive_differences, sorted_turns, context_clip, noise_class, frame_to_sample_to_second, three_roundings, sox_command, split_candidates,
         split_long_segments_optimal, split_long_segments_greedy, split_long_segments_partial,
     )
 }
@@ -226,6 +229,13 @@ SELECT event_id, a AS start_sample, b AS end_sample, (a * 625)::DECIMAL(25, 0) *
     "three_roundings": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_tax AS DECIMAL(18, 7)) + CAST(l_linenumber * 3125 AS DECIMAL(18, 0)) * 0.00000001 AS DECIMAL(18, 7)) AS t FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(CAST(t AS DOUBLE) * 16000.0::DOUBLE) AS BIGINT) AS by_float, CAST(trunc(t * 16000) AS BIGINT) AS by_decimal,
   CAST(round_even(CAST(t * 16000 AS DOUBLE), 0) AS BIGINT) AS half_even FROM r""",
+    "split_candidates": f"""WITH {UTTERANCES}, c AS (SELECT session, speaker, CAST(floor((s - {_DAY}) / 60000000) AS BIGINT) AS f, count(*) AS p FROM u GROUP BY ALL),
+m AS (SELECT session, speaker, unnest(generate_series(0, 1439)) AS f FROM (SELECT DISTINCT session, speaker FROM c)),
+t AS (SELECT m.session, m.speaker, m.f, coalesce(p, 0) AS p FROM m LEFT JOIN c ON c.session = m.session AND c.speaker = m.speaker AND c.f = m.f),
+w AS (SELECT session, speaker, f AS frame, max(p) OVER (PARTITION BY session, speaker ORDER BY f ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS p FROM t),
+low AS (SELECT session, speaker, frame FROM w WHERE p <= 0.2), {_ISLANDS('low', 'session, speaker')},
+k AS (SELECT session, speaker, list(CAST((s + e) // 2 AS BIGINT) ORDER BY s) AS candidates FROM islands WHERE s >= 20 AND 1440 - e >= 20 GROUP BY ALL)
+SELECT session, speaker, 0::BIGINT AS s, 1440::BIGINT AS e, coalesce(candidates, CAST([] AS BIGINT[])) AS candidates FROM (SELECT DISTINCT session, speaker FROM c) LEFT JOIN k USING (session, speaker)""",
     "sox_command": f"""WITH {UTTERANCES}, {_BY_SPEAKER}, c AS (SELECT session, speaker, string_agg(s || 's =' || e || 's', ' =' ORDER BY s) AS p FROM x GROUP BY ALL)
 SELECT session, speaker, 'sox /audio/' || session || '_' || speaker || '.wav -t wav - trim ' || p || ' |' AS command FROM c""",
 }
