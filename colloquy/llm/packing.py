@@ -122,7 +122,8 @@ def pack(items: DataFrame, *, order: list[str], capacity: int = 2048) -> DataFra
     plan = F.broadcast(plan) if len(found) <= BROADCAST_RANGES else plan
     inside = Window.partitionBy("length", "_bucket").orderBy(*order)
     ranked = rows.withColumn("_in", F.row_number().over(inside).cast("bigint") - 1)
-    ranked = ranked.join(counts.select("length", "_bucket", "_before"), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_in"))
+    # Merged, not broadcast: the counts grow with the buckets, and the ranks are dealt and sorted by these keys.
+    ranked = ranked.join(counts.select("length", "_bucket", "_before").hint("merge"), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_in"))
     at = plan.withColumnRenamed("length", "_length")
     placed = ranked.join(at, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
     x = F.col("_rank") - F.col("_low")
