@@ -112,13 +112,15 @@ def document_frequencies(rows: DataFrame, settings: Settings) -> tuple[int, np.n
 
 
 def sampled(rows: DataFrame, settings: Settings) -> DataFrame:
-    """At most ``sample`` rows of each language, those of the smallest hash of the id."""
-    small = rows.select("_id", "_lang", F.xxhash64("_id").alias("_h"), F.spark_partition_id().alias("_part"))
-    # First within the input partitions, then among what is left: a frequent language is no hot group.
+    """At most ``sample`` rows of each language, those of the smallest hash of the id; equal rows
+    count once, so that a row that is repeated is no more than one."""
+    rows = rows.withColumn("_t", F.xxhash64("_text"))
+    small = rows.select("_id", "_lang", "_t").distinct().select("*", F.xxhash64("_id").alias("_h"), F.spark_partition_id().alias("_part"))
+    # First within the partitions, then among what is left: a frequent language is no hot group.
     for by in (["_lang", "_part"], ["_lang"]):
-        small = small.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id"))).where(F.col("_r") <= settings.sample)
-    picked = small.select("_id").distinct()
-    return rows.join(F.broadcast(picked), "_id", "left_semi")
+        small = small.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id", "_t"))).where(F.col("_r") <= settings.sample)
+    picked = small.select("_id", "_lang", "_t")
+    return rows.join(F.broadcast(picked), ["_id", "_lang", "_t"], "left_semi").dropDuplicates(["_id", "_lang", "_t"]).drop("_t")
 
 
 def _sparse(rows: DataFrame, settings: Settings) -> DataFrame:

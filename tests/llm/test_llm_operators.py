@@ -599,3 +599,9 @@ def test_reach_of_windows_may_be_bounded():
         assert np.array_equal(c, near[1])
         assert np.array_equal(np.minimum(c - left, width - 1), np.minimum(c - near[0], width - 1))
         assert np.array_equal(np.minimum(right - c, width - 1), np.minimum(near[2] - c, width - 1))
+
+
+def test_sample_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a", "x", 0)] * 50 + [(i, "a", f"t{i}", 0) for i in range(2, 40)] + [(1, "b", "y", 0)] * 9, "_id long, _lang string, _text string, _fold int")
+    got = language.sampled(rows, language.Settings(sample=10)).collect()
+    assert len(got) == 11 and len({(r._id, r._lang) for r in got}) == 11
