@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 
 #: The subsets of the corpus.
 SUBSETS = ["0S", "0L", "OV10", "OV20", "OV30", "OV40"]
+#: What the folders' ratio and silences stand for, and the form of the codes.
+DETAILS = {
+    "0.0_sil2.9_3.0": "0L",
+    "0.0_sil0.1_0.5": "0S",
+    "10.0_sil0.1_1.0": "OV10",
+    "20.0_sil0.1_1.0": "OV20",
+    "30.0_sil0.1_1.0": "OV30",
+    "40.0_sil0.1_1.0": "OV40",
+}
+CODES = r"OV\d0|0[LS]"
 
 
 def first_match(*found: Column) -> Column:
@@ -37,12 +47,44 @@ def session_of(name: Column) -> Column:
     return first_match(F.regexp_extract(name, r"(session[^_]*)(?:_|$)", 1))
 
 
-def canonical(name: Column) -> Column:
-    """``sessionN_CH0_SUBSET`` of names in any of four forms; null for others."""
-    session, kind = session_of(name), subset(name)
-    forms = [r"^overlap_ratio_\d+\.\d+_sil\d+\.\d+_\d+\.\d+_session\d+_actual\d+\.\d+$", r"^session\d+_(?:OV\d+|0S|0L)$", r"^(?:OV\d+|0S|0L)_session\d+$", r"^(?:\w+?_)?session\d+_CH\d+_(?:OV\d+|0S|0L)(?:_\d+_\d+)?$"]
-    known = name.rlike("|".join(forms))
-    return F.when(known & session.isNotNull() & kind.isNotNull(), F.concat(session, F.lit("_CH0_"), kind))
+def details_subset(details: Column) -> Column:
+    """The subset that a folder's ratio and silence stand for; null for any not in the table."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in DETAILS.items() for x in pair]), details)
+
+
+def canonical(name: Column, utterance: bool = False) -> Column:
+    """``sessionN_CH0_SUBSET`` of a recording's name in one of four forms; null for any other name.
+
+    utterance: the names of utterances instead, with a speaker's number before the recording and,
+    but for folders, two places after it. A name has to match as a whole.
+    """
+    before, after = (r"\d+_", r"_\d+_\d+") if utterance else ("", "")
+    folder = rf"\A{before}overlap_ratio_(.*)_session(.*)_actual.*\z"
+    coded = rf"\A{before}session(\d+)(?:_CH0)?_({CODES}){after}\z"
+    turned = rf"\A({CODES})_session(\d+)\z"
+    found = [
+        (F.regexp_extract(name, folder, 2), details_subset(F.regexp_extract(name, folder, 1)), name.rlike(folder)),
+        (F.regexp_extract(name, coded, 1), F.regexp_extract(name, coded, 2), name.rlike(coded)),
+    ]
+    if not utterance:
+        found.append((F.regexp_extract(name, turned, 2), F.regexp_extract(name, turned, 1), name.rlike(turned)))
+    return F.coalesce(*[F.when(known, F.concat(F.lit("session"), session, F.lit("_CH0_"), kind)) for session, kind, known in found])
+
+
+def short(name: Column, utterance: bool = False) -> Column:
+    """``sessionN_SUBSET`` of a name that canonical() knows."""
+    return F.replace(canonical(name, utterance), F.lit("_CH0"), F.lit(""))
+
+
+def canonical_by_prefix(name: Column) -> Column:
+    """The older reading: a folder's name or a name with any channel, each with anything after it.
+
+    A folder's name becomes canonical, a name with a channel stays as it is; null for others.
+    """
+    folder = r"\Aoverlap_ratio_(.*)_session(.*)_actual"
+    coded = rf"\Asession.*_CH.*_(?:{CODES})"
+    made = F.concat(F.lit("session"), F.regexp_extract(name, folder, 2), F.lit("_CH0_"), details_subset(F.regexp_extract(name, folder, 1)))
+    return F.when(name.rlike(folder), made).when(name.rlike(coded), name)
 
 
 def channel_suffix(path: Column) -> Column:

@@ -50,13 +50,14 @@ def mixed_halves(a: Column, length: int) -> Column:
     return F.zip_with(F.slice(a, 1, length), F.slice(a, length + 1, length), lambda x, y: x + y)
 
 
-def trim_command(path: Column, intervals: Column, unit: str = "s") -> Column:
-    """A sox command that cuts the intervals (array of s, e; sorted) out of a file.
+def trim_command(path: Column, intervals: Column, unit: str = "s", effect: str = "") -> Column:
+    """A sox command that cuts the intervals (array of s, e) out of a file and joins them.
 
-    The first number is where the first begins, the others are absolute places.
+    Numbers or texts of numbers, written as they are; they have to rise, and there has to be one.
+    unit: ``s`` for samples, nothing for seconds. effect: what follows the places, as ``norm -0.1``.
     """
-    sorted_ = F.forall(F.sequence(F.lit(1), F.greatest(F.size(intervals) - 1, F.lit(1))), lambda i: (i >= F.size(intervals)) | (F.get(intervals, i)["s"] >= F.get(intervals, i - 1)["e"]))
-    bounds = F.flatten(F.transform(intervals, lambda x: F.array(x["s"], x["e"])))
-    places = F.transform(bounds, lambda x, i: F.concat(F.when(i > 0, "=").otherwise(""), x.cast("string"), F.lit(unit)))
-    trim = F.when(F.size(intervals) > 0, F.concat(F.lit(" trim "), F.array_join(places, " "))).otherwise("")
-    return F.when(sorted_, F.concat(F.lit("sox "), path, F.lit(" -t wav -"), trim, F.lit(" |"))).otherwise(F.raise_error(F.lit("intervals are not sorted")).cast("string"))
+    numbers = F.flatten(F.transform(intervals, lambda x: F.array(*[x[c].cast("decimal(38,7)") for c in "se"])))
+    places = F.flatten(F.transform(intervals, lambda x: F.array(*[F.concat(F.lit("="), x[c].cast("string"), F.lit(unit)) for c in "se"])))
+    rising = (F.size(numbers) > 0) & (numbers == F.array_sort(numbers))
+    command = F.concat_ws(" ", F.lit("sox -t wav"), path, F.lit("-t wav - trim"), F.array_join(places, " "), *([F.lit(effect)] if effect else []), F.lit("|"))
+    return F.when(rising, command).otherwise(F.raise_error(F.lit("intervals are not sorted, or there is none")).cast("string"))

@@ -74,3 +74,9 @@ def profile(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
         F.percentile(finite, 0.5).alias("median"),
         F.max(finite).alias("high"),
     )
+
+
+def mean_without(rows: DataFrame, path: str, part: int, value: str) -> DataFrame:
+    """``path, mean, n`` over rows whose paths (arrays) differ in one part only, which is left out; the part from 1."""
+    rest = F.concat(F.slice(path, 1, part - 1), F.slice(path, part + 1, F.greatest(F.size(path) - part, F.lit(0))))
+    return rows.groupBy(rest.alias(path)).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

@@ -236,6 +236,6 @@ w AS (SELECT session, speaker, f AS frame, max(p) OVER (PARTITION BY session, sp
 low AS (SELECT session, speaker, frame FROM w WHERE p <= 0.2), {_ISLANDS('low', 'session, speaker')},
 k AS (SELECT session, speaker, list(CAST((s + e) // 2 AS BIGINT) ORDER BY s) AS candidates FROM islands WHERE s >= 20 AND 1440 - e >= 20 GROUP BY ALL)
 SELECT session, speaker, 0::BIGINT AS s, 1440::BIGINT AS e, coalesce(candidates, CAST([] AS BIGINT[])) AS candidates FROM (SELECT DISTINCT session, speaker FROM c) LEFT JOIN k USING (session, speaker)""",
-    "sox_command": f"""WITH {UTTERANCES}, {_BY_SPEAKER}, c AS (SELECT session, speaker, string_agg(s || 's =' || e || 's', ' =' ORDER BY s) AS p FROM x GROUP BY ALL)
-SELECT session, speaker, 'sox /audio/' || session || '_' || speaker || '.wav -t wav - trim ' || p || ' |' AS command FROM c""",
+    "sox_command": f"""WITH {UTTERANCES}, {_BY_SPEAKER}, c AS (SELECT session, speaker, string_agg('=' || s || 's =' || e || 's', ' ' ORDER BY s) AS p FROM x GROUP BY ALL)
+SELECT session, speaker, 'sox -t wav /audio/' || session || '_' || speaker || '.wav -t wav - trim ' || p || ' |' AS command FROM c""",
 }

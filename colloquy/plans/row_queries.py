@@ -176,7 +176,7 @@ def distinct_file_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_canonicalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recording names in four forms, made of pages, to one form."""
+    """Names made of pages: recordings to one form; ratios with another's silences, other channels and URLs are unknown."""
     n = F.col("page_id").cast("string")
     forms = [
         F.concat(F.lit("overlap_ratio_"), (F.col("page_id") % 5 * 10).cast("string"), F.lit(".0_sil0.1_0.5_session"), n, F.lit("_actual9.9")),
@@ -284,7 +284,7 @@ m AS (SELECT k.key, max(CASE WHEN p.key = k.key THEN value END) AS exact, min(va
     "disjoint_check": "SELECT count(*) AS n_shared FROM (SELECT doc_id FROM labels WHERE toxic = 1 INTERSECT SELECT doc_id FROM labels WHERE quality = 1)",
     "distinct_file_udf": "SELECT doc_id, source, 'text of ' || source AS words FROM documents",
     "id_canonicalise": f"""WITH {_NAMES} SELECT page_id, CAST(form AS INT) AS form,
-  CASE form WHEN 0 THEN 'session' || page_id || '_CH0_' || CASE WHEN page_id % 5 = 0 THEN '0S' ELSE 'OV' || (page_id % 5 * 10) END WHEN 1 THEN 'session' || page_id || '_CH0_0L' WHEN 2 THEN 'session' || page_id || '_CH0_OV20' WHEN 3 THEN 'session' || page_id || '_CH0_0S' END AS canonical,
+  CASE form WHEN 0 THEN CASE WHEN page_id % 5 = 0 THEN 'session' || page_id || '_CH0_0S' END WHEN 1 THEN 'session' || page_id || '_CH0_0L' WHEN 2 THEN 'session' || page_id || '_CH0_OV20' END AS canonical,
   CASE WHEN contains(name, 'session0') THEN 'dev' ELSE 'eval' END AS split, regexp_replace(name, '[^a-zA-Z0-9]', '_', 'g') AS safe, regexp_replace(name, '_[^_]*$', '') AS stem, CASE WHEN page_id < 10000 THEN lpad(CAST(page_id AS VARCHAR), 4, '0') ELSE CAST(page_id AS VARCHAR) END AS number FROM names""",
     "transcript_normalise": """SELECT conv_id, turn, nullif(trim(translate(text, '-?,.!', ' ')), '') AS cleaned, trim(regexp_replace(regexp_replace(text, '[^ -~\n]', 'x', 'g'), '\\s+', ' ', 'g')) AS squashed,
   upper(regexp_replace(text, '[^ -~]', 'x', 'g')) AS words, regexp_replace(text, '[^ -~]', 'x', 'g') AS words_orig, translate(lower(regexp_replace(text, '[^ -~]', 'x', 'g')), '.?!,', '') AS scored FROM conversations""",

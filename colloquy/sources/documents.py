@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +33,31 @@ def mix_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("output STRING, inputs ARRAY<STRUCT<speaker_id: STRING, path: STRING, offset_in_samples: BIGINT>>, speakers ARRAY<STRING>, t60 DOUBLE, snr DOUBLE").json(path, multiLine=True).withColumnRenamed("t60", "sound_decay_time")
 
 
-def routed(tables: dict[str, DataFrame], variant: str) -> DataFrame:
-    """The table of the exact name, else of the only name in ``variant``; several are an error."""
-    if variant in tables:
-        return tables[variant]
-    found = [k for k in tables if k in variant]
+def with_paths(value, **folders: str):
+    """Texts like ``{egs}/train.json`` with the folders' paths, also inside lists and dicts."""
+    if isinstance(value, str):
+        return value.format(**folders)
+    if isinstance(value, dict):
+        return {k: with_paths(v, **folders) for k, v in value.items()}
+    return [with_paths(v, **folders) for v in value] if isinstance(value, (list, tuple)) else value
+
+
+def selected(spark: SparkSession, configs: dict[str, dict], names: list[str], example: str, **folders: str) -> DataFrame:
+    """The examples of the named configurations (``path`` and maybe ``datasets``); others aren't read."""
+    wanted = [with_paths(configs[n], **folders) for n in names]
+    return union([database(spark, c["path"], example, c.get("datasets")) for c in wanted])
+
+
+def routed(tables: dict[str, DataFrame], variant: str, datasets: list[str] | None = None) -> DataFrame:
+    """The table of the exact name, else of the only name that is in ``variant`` or, as a pattern, found in it.
+
+    Several such names, or none, are an error. datasets: only the rows of these.
+    """
+    found = [variant] if variant in tables else [k for k in tables if k in variant or re.search(k, variant)]
     if len(found) != 1:
         raise KeyError(f"{variant!r} matches {found or 'no table'}")
-    return tables[found[0]]
+    rows = tables[found[0]]
+    return rows.where(F.col("dataset").isin(datasets)) if datasets is not None else rows
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

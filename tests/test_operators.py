@@ -140,7 +140,11 @@ def test_ids(spark):
         "overlap_ratio_0.0_sil2.9_3.0_session1_actual0.0": "session1_CH0_0L",
         "session0_0L": "session0_CH0_0L",
         "0L_session1": "session1_CH0_0L",
-        "1089_session1_CH0_0S_003830_004658": "session1_CH0_0S",
+        "session0_CH0_0L": "session0_CH0_0L",
+        "1089_session1_CH0_0S_003830_004658": None,
+        "session1_CH3_OV20": None,
+        "session1_OV99": None,
+        "overlap_ratio_15.0_sil0.1_1.0_session1_actual9.9": None,
         "something else": None,
     }
     df = spark.createDataFrame([(n,) for n in names], "n string")
@@ -168,7 +172,7 @@ def test_vectors(spark):
     crop = df.select(vectors.random_crop(F.col("a").cast("array<double>"), 5, 3)).first()[0]
     assert len(crop) == 5 and crop == [crop[0] + i for i in range(5)]
     spans_ = df.select(F.expr("array(named_struct('s', 686956, 'e', 714157), named_struct('s', 760649, 'e', 1010729))").alias("i"))
-    assert spans_.select(vectors.trim_command(F.lit("f.wav"), F.col("i"))).first()[0] == "sox f.wav -t wav - trim 686956s =714157s =760649s =1010729s |"
+    assert spans_.select(vectors.trim_command(F.lit("f.wav"), F.col("i"))).first()[0] == "sox -t wav f.wav -t wav - trim =686956s =714157s =760649s =1010729s |"
 
 
 def test_moments_merge(spark):
@@ -234,7 +238,11 @@ def test_json_sources(spark, tmp_path):
     seg = documents.seglst(spark, str(tmp_path / "seg.json")).first()
     assert (seg.end_time, seg.audio_path) == (Decimal("43.8200001"), "a.wav")
     tables = {"libri": spark.range(1), "other": spark.range(2)}
-    assert documents.routed(tables, "libri_ch0").count() == 1
+    assert documents.routed(tables, "libri_ch0").count() == 1 and documents.routed({"l.b": spark.range(3)}, "libri").count() == 3
+    assert documents.with_paths({"a": ["{egs}/x", 3]}, egs="/e") == {"a": ["/e/x", 3]}
+    configs = {"one": {"path": "{egs}/db.json", "datasets": ["dev"]}, "two": {"path": "{egs}/missing.json"}}
+    chosen = documents.selected(spark, configs, ["one"], "STRUCT<n: INT>", egs=str(tmp_path))
+    assert [r.example_id for r in chosen.collect()] == ["a"]
     with pytest.raises(KeyError):
         documents.routed(tables, "libri_other")
 
