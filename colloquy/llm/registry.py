@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_pairs, queries_text
+from . import queries_models, queries_pairs, queries_text
 
-MODULES = (queries_pairs, queries_text)
+MODULES = (queries_models, queries_pairs, queries_text)
 
 
 def queries() -> dict:

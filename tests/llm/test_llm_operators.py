@@ -56,7 +56,8 @@ def real():
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for name in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     return con
 
 
@@ -70,11 +71,23 @@ def test_equals_sql(spark, db, name):
     assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(str(tuple(r[i] for i in at)) for r in expected.fetchall())
 
 
+def other_tables(spark, folder, rows):
+    """The tables besides documents, with nulls and columns of clashing names, or without rows."""
+    labels = [(i, i % 2 if i % 5 else None, "x") for i in range(12)] + [(3, 1, "x"), (None, 1, "x")]
+    spark.createDataFrame(labels if rows else [], "doc_id bigint, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
+    target = [(i, t, "x") for i, t in enumerate(ODD)]
+    spark.createDataFrame(target if rows else [], "item_id bigint, text string, doc_id string").write.parquet(f"{folder}/benchmark.parquet")
+    vectors = [(i, [float(i % 7)] * 64, "x") for i in range(20)] + [(None, [0.5] * 64, "x"), (3, None, "x"), (4, [1.0] * 63, "x")]
+    spark.createDataFrame(vectors if rows else [], "vec_id bigint, embedding array<float>, cluster string").write.parquet(f"{folder}/embeddings.parquet")
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_odd_texts_repeated_rows_and_empty_tables(spark, tmp_path, name):
     docs = docs_of(spark, ODD + ODD[3:5])
     docs.union(docs.limit(3)).write.parquet(f"{tmp_path}/some/documents.parquet")
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    other_tables(spark, f"{tmp_path}/some", True)
+    other_tables(spark, f"{tmp_path}/none", False)
     query = registry.queries()[name]
     some = query(spark, f"{tmp_path}/some").count()
     if name != "op9_substring_dedup" and not name.startswith("op10"):
@@ -86,6 +99,7 @@ def test_odd_texts_repeated_rows_and_empty_tables(spark, tmp_path, name):
 def test_rows_without_an_id_do_no_harm(spark, tmp_path, name):
     docs = docs_of(spark, ["the first text of some words", None, "another text"])
     docs.union(docs.withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes})).write.parquet(f"{tmp_path}/documents.parquet")
+    other_tables(spark, str(tmp_path), True)
     query = registry.queries()[name]
     assert query(spark, str(tmp_path)).count() >= (0 if name == "op9_substring_dedup" else 1)
 
