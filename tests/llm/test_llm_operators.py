@@ -619,3 +619,23 @@ def test_sample_of_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a", "x", 0)] * 50 + [(i, "a", f"t{i}", 0) for i in range(2, 40)] + [(1, "b", "y", 0)] * 9, "_id long, _lang string, _text string, _fold int")
     got = language.sampled(rows, language.Settings(sample=10)).collect()
     assert len(got) == 11 and len({(r._id, r._lang) for r in got}) == 11
+
+
+def test_repeats_are_the_same_under_every_plan(spark):
+    rng = random.Random(11)
+    pool = [prose(rng, 90) for _ in range(6)]
+    texts = [" ".join([prose(rng, rng.randint(0, 20)), *rng.sample(pool, 3), prose(rng, 10)]) for _ in range(18)]
+    texts += [" ".join(t.split()[: 60 + 20 * k]) + " " + prose(rng, 30) for k, t in enumerate(texts[:6])]
+    docs = docs_of(spark, texts)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k, None) for k in names}
+    found = []
+    try:
+        for settings in (("-1", "-1", "4", "true", "256MB", "5", "64MB"), ("-1", "-1", "7", "false", "1KB", "1.1", "1KB"), ("10MB", "10MB", "4", "true", "256MB", "5", "64MB")):
+            for k, v in zip(names, settings):
+                spark.conf.set(k, v)
+            found.append(sorted(map(tuple, substring_dedup.repeats(docs).drop("text_hash").collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(found[0]) > 40 and found[0] == found[1] == found[2]
