@@ -12,9 +12,12 @@ ones, one less than must agree, can't be all that a pair shares). Each signature
 compared with two of its members, the smallest and the one with the most frequent signatures.
 Where a bucket still holds several components, a link that wasn't seen has a shingle in common
 that the smallest member lacks: were all its common shingles in the smallest member, both ends
-would link with that one. So the bucket is parted by the rarest of such shingles, and so on; what is
-left after a few turns is compared across components. No link between components is lost, and no
-bucket is paired with itself while it is large. Documents of equal sets are one candidate.
+would link with that one. So the bucket is parted by the rarest of such shingles, and so on, until
+none of more than SMALL members is open; a bucket of SMALL members is compared across components at
+once. Shingles of equal frequency, which come together where one passage varies, stand together in
+the order of rarity and so part a bucket once. Before two sets are compared, bits that count their
+shingles modulo 2 bound their difference from below. No link between components is lost, and no
+larger bucket is paired with itself. Documents of equal sets are one candidate.
 
 Defined cases: a null text, or one without words, has no set and links with nothing, so it is
 its own component; fewer words than a shingle are one shingle; a repeated row gives a repeated
@@ -43,8 +46,13 @@ from .word_hashes import chunks, mix, words
 BAND = 1.5
 #: Sets with too few shingles for the cells of a band sign by other cells too, so many times.
 SCHEMES = 4
-#: Turns in which open buckets are parted, before what is left is compared across components.
-TURNS = 2
+#: Members of a bucket that is compared across components at once.
+SMALL = 8
+#: Turns in which larger open buckets are parted. Each takes a member out of them; should some be left
+#: (sets that hardly differ in what parts them), they are compared across components too.
+TURNS = 12
+#: Words of 64 bits that count shingles modulo 2.
+PARITY = 4
 _SUMMARY = -1
 
 
@@ -200,8 +208,9 @@ def candidate_rows(entries: DataFrame) -> DataFrame:
 
 
 def bags(texts: DataFrame, live: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``node, n, z`` of the sets ``live`` (columns of named_sets()): the shingles that another one
-    has too, rarest first. Sets with too few of them to link are left out."""
+    """``node, n, z, p0, p1, ...`` of the sets ``live`` (columns of named_sets()): the shingles that
+    another one has too, rarest first, and their parities(). Sets with too few of them to link are
+    left out."""
 
     def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,22 +237,36 @@ def bags(texts: DataFrame, live: DataFrame, width: int, num: int, den: int) -> D
             size = n[once][first]
             told = np.flatnonzero(den * count >= num * size)
             lists = [z[once][first[k] : first[k] + count[k]] for k in told]
-            yield pa.RecordBatch.from_arrays([pa.array(own[told]), pa.array(size[told]), pa.array(lists, pa.list_(pa.int64()))], names=["node", "n", "z"])
+            bits = parities(lists).T if lists else np.empty((PARITY, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own[told]), pa.array(size[told]), pa.array(lists, pa.list_(pa.int64())), *map(pa.array, bits)], names=["node", "n", "z", *_BITS])
             node, n, z = node[last:], n[last:], z[last:]
 
     sets = texts.join(live.select(F.col("rep").alias("id"), "node", "h1", "h2"), "id").select("node", "text", "h1", "h2")
     sets = written(sets.mapInArrow(list_sets, "node bigint, n bigint, s array<bigint>"))
     each = sets.select("node", "n", F.explode("s").alias("z"))
     often = written(shared(each, "z"))
-    # Six bits of rarity before the rest of the hash: the order of numbers is that of rarity.
-    ranked = F.shiftleft(F.floor(F.log2("many")), 57).bitwiseOR(F.shiftrightunsigned("z", 7))
+    # Fourteen bits of rarity, in steps of 0.3 %, before the rest of the hash: the order of numbers is that of rarity.
+    ranked = F.shiftleft(F.floor(256 * F.log2("many")), 49).bitwiseOR(F.shiftrightunsigned("z", 15))
     rows = each.join(often, "z").select("node", "n", ranked.alias("z")).repartition("node").sortWithinPartitions("node", "z")
-    rows = written(rows.mapInArrow(gather, "node bigint, n bigint, z array<bigint>"))
+    rows = written(rows.mapInArrow(gather, "node bigint, n bigint, z array<bigint>, " + ", ".join(f"{p} bigint" for p in _BITS)))
     discard(sets)
     discard(often)
     return rows
 
 
+_BITS = [f"p{w}" for w in range(PARITY)]
+
+
+def parities(lists: list[np.ndarray]) -> np.ndarray:
+    """Of lists, none empty, how many elements fall on each of 64 * PARITY bits, modulo 2. Two lists
+    differ in as many elements at least as their bits differ."""
+    flat, first = np.concatenate(lists), _segments(np.array([len(x) for x in lists]))[:-1]
+    h = mix(flat.astype(np.uint64)) % np.uint64(64 * PARITY)
+    bit = np.uint64(1) << (h & np.uint64(63))
+    words_ = [np.bitwise_xor.reduceat(np.where(h >> np.uint64(6) == w, bit, np.uint64(0)), first) for w in range(PARITY)]
+    return np.stack(words_, axis=1).view(np.int64)
+
+
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -318,56 +341,73 @@ def linked_components(found: DataFrame, texts: DataFrame, sets: DataFrame, width
     """``node, component`` of the sets that link, from ``key, node, many`` of candidate_rows()."""
     live = sets.join(found.select("node").distinct(), "node", "left_semi")
     alike = bags(texts, live, width, num, den)
-    sizes = alike.select("node", "n", F.size("z").alias("q"))
+    sizes = alike.select("node", "n", F.size("z").alias("q"), *_BITS)
     fame = found.groupBy("node").agg(F.sum("many").alias("fame"))
     members = written(sizes.join(fame, "node"))
     buckets = written(found.select("key", "node").join(alike.select("node"), "node", "left_semi"))
     discard(found)
     labels = None
     for turn in range(TURNS + 1):
-        rows = with_component(buckets.join(members, "node"), labels)
-        if turn == TURNS:
-            pairs = across(rows, num, den).withColumn("smallest", F.lit(None).cast("bigint"))
-        else:
-            centers = open_buckets(rows, "key", F.min(F.struct("n", "node")).alias("_small"), F.max(F.struct("fame", "node")).alias("_famous"))
-            held = written(rows.join(centers, "key").select("node", "n", F.col("_small.node").alias("_small"), F.col("_famous.node").alias("_famous")).distinct())
-            others = held.where("node <> _small")
-            small = others.join(others.groupBy("_small").agg(F.min("n").alias("smallest")), "_small").select("node", F.col("_small").alias("c"), "smallest")
-            famous = held.where("node <> _famous").select("node", F.col("_famous").alias("c"), F.lit(None).cast("bigint").alias("smallest"))
-            pairs = small.union(famous).groupBy("node", "c").agg(F.min("smallest").alias("smallest"))
-        done = written(compared(pairs, alike, num, den))
+        rows = written(with_component(buckets.join(members, "node"), labels))
         discard(buckets)
+        centers = written(open_buckets(rows, "key", F.count(F.lit(1)).alias("_n"), F.min(F.struct("n", "node")).alias("_small"), F.max(F.struct("fame", "node")).alias("_famous")))
+        at_once = F.col("_n") <= SMALL if turn < TURNS else F.lit(True)
+        pairs = across(rows.join(centers.where(at_once).select("key"), "key", "left_semi"), num, den).withColumn("smallest", F.lit(None).cast("bigint"))
+        held = written(outermost(rows.select("key", "node", "n").join(centers.where(~at_once), "key")))
+        if held.limit(1).count():
+            others = held.where("node <> _small.node")
+            least = written(others.groupBy("_small.node").agg(F.min("n").alias("smallest")).withColumnRenamed("node", "c"))
+            small = others.select("node", F.col("_small.node").alias("c")).join(least, "c").select("node", "c", "smallest")
+            pairs = pairs.union(small)
+            if turn == 0:
+                pairs = pairs.union(held.where("node <> _famous.node").select("node", F.col("_famous.node").alias("c"), F.lit(None).cast("bigint")))
+        done = written(compared(pairs.groupBy("node", "c").agg(F.min("smallest").alias("smallest")), alike, num, den))
+        discard(rows)
+        discard(centers)
         links = done.where("linked").select(F.col("node").alias("a"), F.col("c").alias("b"))
         if links.limit(1).count():
             before = labels
             links = links if before is None else links.union(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = components(links, steps=2 if turn < TURNS else None)
+            labels = components(links, steps=1 if turn else 2)
             if before is not None:
                 discard(before)
-        if turn < TURNS:
-            rest = with_component(done.where(F.size("rest") > 0).select("c", "node", "rest"), labels)
-            rest = rest.join(open_buckets(rest, "c"), "c", "left_semi").select("c", "node", F.explode("rest").alias("z"))
-            buckets = written(rest.select(F.xxhash64("c", "z").alias("key"), "node").distinct())
-            discard(held)
+        rest = held.select("key", "node", F.col("_small.node").alias("c")).join(done.where(F.size("rest") > 0).select("c", "node", "rest"), ["c", "node"])
+        rest = written(with_component(rest, labels))
         discard(done)
-        if turn < TURNS and not buckets.limit(1).count():
-            discard(buckets)
+        discard(held)
+        parted = rest.join(written(open_buckets(rest, "key")), "key", "left_semi").select("key", "node", F.explode("rest").alias("z"))
+        # In whatever order shingles part a bucket, the part is the same.
+        buckets = written(parted.select(F.col("key").bitwiseXOR(F.xxhash64("z")).alias("key"), "node").distinct())
+        discard(rest)
+        if not buckets.limit(1).count():
             break
+    discard(buckets)
     discard(alike)
     discard(members)
-    if labels is not None and turn < TURNS:
+    if labels is not None:
         before = labels
         labels = components(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
         discard(before)
     return labels
 
 
+def outermost(rows: DataFrame) -> DataFrame:
+    """``rows`` (a node in a bucket ``key`` of ``_n``) without the buckets that lie in another one.
+
+    Each node names its largest bucket; where all of a bucket name the same other one, that holds
+    whatever this one does, and is left or lies in a larger one itself.
+    """
+    home = written(rows.groupBy("node").agg(F.max(F.struct("_n", "key"))["key"].alias("_home")))
+    inside = rows.select("node", "key").join(home, "node").groupBy("key").agg(F.min("_home").alias("_a"), F.max("_home").alias("_b"))
+    return rows.join(written(inside.where("_a <> _b OR _a = key").select("key")), "key", "left_semi")
+
+
 def across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``node, c`` of a bucket and different components that may link by their sizes and
-    by the shingles that they don't have alone (q)."""
-    rows = rows.join(open_buckets(rows, "key"), "key", "left_semi")
-    other = rows.select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("q").alias("r"), F.col("component").alias("_other"))
+    """The pairs ``node, c`` of a bucket and different components that may link by their sizes: the
+    shingles that one has alone (all but q), and bits that differ, are differences."""
+    other = rows.select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("q").alias("r"), F.col("component").alias("_other"), *[F.col(p).alias(f"_{p}") for p in _BITS])
     both = rows.join(other, "key").where(F.col("component") < F.col("_other"))
-    most = F.least("q", "r")
-    both = both.where(den * most >= num * (F.col("n") + F.col("m") - most))
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"_{p}"))) for p in _BITS), F.col("n") - F.col("q") + F.col("m") - F.col("r"))
+    size = F.col("n") + F.col("m")
+    both = both.where(den * (size - apart) >= num * (size + apart))
     return both.select("node", "c").distinct()

@@ -639,3 +639,45 @@ def test_repeats_are_the_same_under_every_plan(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(found[0]) > 40 and found[0] == found[1] == found[2]
+
+
+def forms(rng, n):
+    """A template of 120 words with 8 fields of 6 values each."""
+    base = [f"t{i}" for i in range(120)]
+    fields, texts = sorted(rng.sample(range(3, 117), 8)), []
+    for _ in range(n):
+        words = list(base)
+        for f in fields:
+            words[f] = f"v{f}x{rng.randrange(6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_forms_are_not_all_compared(spark, monkeypatch):
+    seen = []
+    compare = jaccard_join.compared
+    monkeypatch.setattr(jaccard_join, "compared", lambda pairs, *more: seen.append(pairs.count()) or compare(pairs, *more))
+    rates = []
+    for n in (300, 900):
+        texts = forms(random.Random(n), n)
+        seen.clear()
+        got = {r.doc_id: r.component_id for r in jaccard_join.similar(docs_of(spark, texts)).collect()}
+        sets = [set(zip(w, w[1:], w[2:])) for w in (t.split() for t in texts)]
+        places = {}
+        for k, s in enumerate(sets):
+            places.setdefault(frozenset(s), k)
+        matrix = np.zeros((n, len(set().union(*sets))), np.float32)
+        numbers = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+        for k, s in enumerate(sets):
+            matrix[k, [numbers[x] for x in s]] = 1
+        both, size = matrix @ matrix.T, matrix.sum(1)
+        linked = 100 * both >= 90 * (size[:, None] + size[None] - both)
+        expected = np.arange(n)
+        while True:
+            least = np.where(linked, expected[None], n).min(1)
+            if (least == expected).all():
+                break
+            expected = least
+        assert [got[k] for k in range(n)] == expected.tolist()
+        rates.append(sum(seen) / n)
+    assert rates[1] <= 40, rates  # 450 in all pairs
