@@ -239,3 +239,41 @@ SELECT session, speaker, 0::BIGINT AS s, 1440::BIGINT AS e, coalesce(candidates,
     "sox_command": f"""WITH {UTTERANCES}, {_BY_SPEAKER}, c AS (SELECT session, speaker, string_agg('=' || s || 's =' || e || 's', ' ' ORDER BY s) AS p FROM x GROUP BY ALL)
 SELECT session, speaker, 'sox -t wav /audio/' || session || '_' || speaker || '.wav -t wav - trim ' || p || ' |' AS command FROM c""",
 }
+
+_MAX_LEN = 90
+_SEGMENTS = "seg AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (" + ORACLE_SQL["split_candidates"] + "))"
+#: greedy(id, splits): the state after each candidate is how far the next one may be, and the splits so far.
+_GREEDY = f"""steps(id, i, reach, splits) AS (
+  SELECT id, 1::BIGINT, s + {_MAX_LEN}, []::BIGINT[] FROM seg
+  UNION ALL
+  SELECT id, i + 1, CASE WHEN c[i + 1] > reach THEN c[i] + {_MAX_LEN} ELSE reach END, CASE WHEN c[i + 1] > reach THEN splits || [c[i]] ELSE splits END
+  FROM (SELECT steps.*, seg.candidates AS c FROM steps JOIN seg USING (id)) WHERE i < len(c)),
+greedy AS MATERIALIZED (
+  SELECT id, CASE WHEN len(candidates) > 0 AND e > reach THEN splits || [candidates[-1]] ELSE splits END AS splits
+  FROM steps JOIN seg USING (id) WHERE i = greatest(len(candidates), 1))"""
+
+
+def _optimal_sql(source: str) -> str:
+    """optimal(id, splits) of ``source(id, points)``: best has number, cost and splits up to each point."""
+    inner = "j < len(p)"
+    choice = f"""list_sort(list_transform(list_filter(range(1, j), lambda i: p[j] - p[i] <= {_MAX_LEN} OR j - i = 1),
+      lambda i: {{'n': best[i].n + CASE WHEN {inner} THEN 1 ELSE 0 END, 'cost': best[i].cost + (p[j] - p[i]) * (p[j] - p[i]), 'at': best[i].at || CASE WHEN {inner} THEN [p[j]] ELSE []::BIGINT[] END}}))[1]"""
+    return f"""reached(id, p, j, best) AS (
+  SELECT id, points, 2::BIGINT, [{{'n': 0::BIGINT, 'cost': 0::BIGINT, 'at': []::BIGINT[]}}] FROM {source}
+  UNION ALL
+  SELECT id, p, j + 1, best || [{choice}] FROM reached WHERE j <= len(p)),
+optimal AS MATERIALIZED (SELECT id, CASE WHEN p[-1] - p[1] <= {_MAX_LEN} THEN []::BIGINT[] ELSE best[-1].at END AS splits FROM reached WHERE j = len(p) + 1)"""
+
+
+def _pieces_sql(source: str) -> str:
+    return f"""SELECT session, speaker, unnest([s] || list_transform(splits, lambda x: x + 1)) AS s, unnest(list_transform(splits, lambda x: x - 1) || [e]) AS e FROM {source} JOIN seg USING (id)"""
+
+
+ORACLE_SQL |= {
+    "split_long_segments_greedy": f"WITH RECURSIVE {_SEGMENTS}, {_GREEDY} {_pieces_sql('greedy')}",
+    "split_long_segments_optimal": f"WITH RECURSIVE {_SEGMENTS}, whole AS (SELECT id, [s] || candidates || [e] AS points FROM seg), {_optimal_sql('whole')} {_pieces_sql('optimal')}",
+    "split_long_segments_partial": f"""WITH RECURSIVE {_SEGMENTS}, {_GREEDY},
+kept AS MATERIALIZED (SELECT id, splits[1 : len(splits) - 2] AS fixed FROM greedy),
+ends AS (SELECT id, [low] || list_filter(candidates, lambda c: c > low) || [e] AS points FROM (SELECT seg.*, coalesce(fixed[-1], s) AS low FROM kept JOIN seg USING (id))),
+{_optimal_sql('ends')}, both AS (SELECT id, fixed || splits AS splits FROM kept JOIN optimal USING (id)) {_pieces_sql('both')}""",
+}
