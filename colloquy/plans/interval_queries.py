@@ -275,5 +275,5 @@ ORACLE_SQL |= {
     "split_long_segments_partial": f"""WITH RECURSIVE {_SEGMENTS}, {_GREEDY},
 kept AS MATERIALIZED (SELECT id, splits[1 : len(splits) - 2] AS fixed FROM greedy),
 ends AS (SELECT id, [low] || list_filter(candidates, lambda c: c > low) || [e] AS points FROM (SELECT seg.*, coalesce(fixed[-1], s) AS low FROM kept JOIN seg USING (id))),
-{_optimal_sql('ends')}, both AS (SELECT id, fixed || splits AS splits FROM kept JOIN optimal USING (id)) {_pieces_sql('both')}""",
+{_optimal_sql('ends')}, joined AS (SELECT id, fixed || splits AS splits FROM kept JOIN optimal USING (id)) {_pieces_sql('joined')}""",
 }
