@@ -13,8 +13,8 @@ compared with two of its members, the smallest and the one with the most frequen
 Where a bucket still holds several components, a link that wasn't seen has a shingle in common
 that the smallest member lacks: were all its common shingles in the smallest member, both ends
 would link with that one. So the bucket is parted by the rarest of such shingles, and so on, until
-none of more than SMALL members is open; a bucket of SMALL members is compared across components at
-once. Shingles of equal frequency, which come together where one passage varies, stand together in
+none is open with more than SMALL members outside its largest component; those few are compared with
+all of the bucket at once. Shingles of equal frequency, which come together where one passage varies, stand together in
 the order of rarity and so part a bucket once. Before two sets are compared, bits that count their
 shingles modulo 2 bound their difference from below. No link between components is lost, and no
 larger bucket is paired with itself. Documents of equal sets are one candidate.
@@ -46,11 +46,11 @@ from .word_hashes import chunks, mix, words
 BAND = 1.5
 #: Sets with too few shingles for the cells of a band sign by other cells too, so many times.
 SCHEMES = 4
-#: Members of a bucket that is compared across components at once.
-SMALL = 8
+#: Members of a bucket outside its largest component that are compared with the others at once.
+SMALL = 16
 #: Turns in which larger open buckets are parted. Each takes a member out of them; should some be left
 #: (sets that hardly differ in what parts them), they are compared across components too.
-TURNS = 12
+TURNS = 6
 #: Words of 64 bits that count shingles modulo 2.
 PARITY = 4
 _SUMMARY = -1
@@ -350,10 +350,12 @@ def linked_components(found: DataFrame, texts: DataFrame, sets: DataFrame, width
     for turn in range(TURNS + 1):
         rows = written(with_component(buckets.join(members, "node"), labels))
         discard(buckets)
-        centers = written(open_buckets(rows, "key", F.count(F.lit(1)).alias("_n"), F.min(F.struct("n", "node")).alias("_small"), F.max(F.struct("fame", "node")).alias("_famous")))
-        at_once = F.col("_n") <= SMALL if turn < TURNS else F.lit(True)
-        pairs = across(rows.join(centers.where(at_once).select("key"), "key", "left_semi"), num, den).withColumn("smallest", F.lit(None).cast("bigint"))
-        held = written(outermost(rows.select("key", "node", "n").join(centers.where(~at_once), "key")))
+        each = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("n", "node")).alias("_s"), F.max(F.struct("fame", "node")).alias("_f"))
+        whole = each.groupBy("key").agg(F.count(F.lit(1)).alias("_components"), F.sum("_m").alias("_n"), F.max(F.struct("_m", "component")).alias("_major"), F.min("_s").alias("_small"), F.max("_f").alias("_famous"))
+        centers = written(whole.where("_components > 1").drop("_components"))
+        at_once = F.col("_n") - F.col("_major._m") <= SMALL if turn < TURNS else F.lit(True)
+        pairs = across(rows, centers.where(at_once).select("key", F.col("_major.component").alias("_major")), num, den).withColumn("smallest", F.lit(None).cast("bigint"))
+        held = written(outermost(rows.select("key", "node", "n").join(centers.where(~at_once).drop("_major"), "key")))
         if held.limit(1).count():
             others = held.where("node <> _small.node")
             least = written(others.groupBy("_small.node").agg(F.min("n").alias("smallest")).withColumnRenamed("node", "c"))
@@ -402,12 +404,14 @@ def outermost(rows: DataFrame) -> DataFrame:
     return rows.join(written(inside.where("_a <> _b OR _a = key").select("key")), "key", "left_semi")
 
 
-def across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``node, c`` of a bucket and different components that may link by their sizes: the
-    shingles that one has alone (all but q), and bits that differ, are differences."""
-    other = rows.select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("q").alias("r"), F.col("component").alias("_other"), *[F.col(p).alias(f"_{p}") for p in _BITS])
-    both = rows.join(other, "key").where(F.col("component") < F.col("_other"))
+def across(rows: DataFrame, major: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``node, c`` of different components in the buckets of ``major`` (``key, _major``: the
+    largest component) that may link by their sizes: the shingles that one has alone (all but q), and
+    bits that differ, are differences. Members outside the largest component meet all others."""
+    few = rows.join(major, "key").where("component <> _major")
+    few = few.select("key", F.col("node").alias("c"), F.col("n").alias("m"), F.col("q").alias("r"), F.col("component").alias("_other"), *[F.col(p).alias(f"_{p}") for p in _BITS])
+    both = rows.join(few, "key").where("component <> _other")
     apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"_{p}"))) for p in _BITS), F.col("n") - F.col("q") + F.col("m") - F.col("r"))
     size = F.col("n") + F.col("m")
     both = both.where(den * (size - apart) >= num * (size + apart))
-    return both.select("node", "c").distinct()
+    return both.select(F.greatest("node", "c").alias("node"), F.least("node", "c").alias("c")).distinct()
