@@ -53,6 +53,10 @@ def template_bigrams(text: str) -> list[tuple[str, str]]:
     return sorted(set(zip(words, words[1:])))
 
 
+#: What a scan compares with, and its SQL.
+KNOWN = TEMPLATES | FULL_TEXTS
+
+
 def normalised(text: Column) -> Column:
     """Lower-case words of A-Z and 0-9 with one space between."""
     return F.lower(F.trim(F.regexp_replace(text, r"[^A-Za-z0-9]+", " ")))
@@ -67,7 +71,7 @@ def _bigrams(units: Column) -> Column:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``id_col, license, dice, n_notices``: the best template at or over the threshold and how
     many lines match one."""
-    texts = {k: template_bigrams(v) for k, v in sorted((TEMPLATES | FULL_TEXTS if templates is None else templates).items())}
+    texts = {k: template_bigrams(v) for k, v in sorted((KNOWN if templates is None else templates).items())}
     known = F.array(
         *[
             F.struct(

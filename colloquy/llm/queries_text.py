@@ -80,7 +80,7 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_sente
 
 
 def _license_sql() -> str:
-    values = ", ".join(f"('{name}', '{a} {b}')" for name, text in sorted(licenses.TEMPLATES.items()) for a, b in licenses.template_bigrams(text))
+    values = ", ".join(f"('{name}', '{a} {b}')" for name, text in sorted(licenses.KNOWN.items()) for a, b in licenses.template_bigrams(text))
     clean = "lower(trim(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')))"
     return f"""
 WITH grams(name, gram) AS (VALUES {values}),

@@ -681,3 +681,15 @@ def test_forms_are_not_all_compared(spark, monkeypatch):
         assert [got[k] for k in range(n)] == expected.tolist()
         rates.append(sum(seen) / n)
     assert rates[1] <= 40, rates  # 450 in all pairs
+
+
+def test_license_sql_has_every_template(spark):
+    rng = random.Random(8)
+    texts = [x for t in licenses.KNOWN.values() for x in (t, prose(rng, 30) + "\n\n" + t + "\n\n" + prose(rng, 9), t.replace(". ", ".\n"))] + ["", prose(rng, 50)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    expected = con.sql(registry.oracle_sql()["op1_license_scan"])
+    got = licenses.scan(docs_of(spark, texts)).select(*expected.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected.fetchall()))
+    assert {r.license for r in got} >= set(licenses.KNOWN)
