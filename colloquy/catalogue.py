@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL that checks them."""
 
-from .plans import interval_queries, lookup_queries, row_queries, score_queries
+from .plans import block_queries, interval_queries, lookup_queries, row_queries, score_queries
 
-QUERIES = interval_queries.QUERIES | row_queries.QUERIES | lookup_queries.QUERIES | score_queries.QUERIES
-ORACLE_SQL = interval_queries.ORACLE_SQL | row_queries.ORACLE_SQL | lookup_queries.ORACLE_SQL | score_queries.ORACLE_SQL
+QUERIES = block_queries.QUERIES | interval_queries.QUERIES | row_queries.QUERIES | lookup_queries.QUERIES | score_queries.QUERIES
+ORACLE_SQL = block_queries.ORACLE_SQL | interval_queries.ORACLE_SQL | row_queries.ORACLE_SQL | lookup_queries.ORACLE_SQL | score_queries.ORACLE_SQL

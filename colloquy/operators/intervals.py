@@ -1,8 +1,8 @@
 """Interval algebra: rows ``*keys, s, e`` are half-open spans of whole numbers, s < e.
 
 Everything is one sort a key and window functions over it. Where one key holds a large share of
-the rows, ``within`` first reduces spans inside slices of that length, so that the sort over the
-whole key meets the reduced spans only.
+the rows, ``within`` cuts it into slices of that length by the starts of its spans: each slice is
+sorted on its own, and only one row a slice is carried along the key. The results are the same.
 """
 
 from __future__ import annotations
@@ -12,14 +12,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carried import carried
+
 Keys = list[str]
 
 
 def union(spans: DataFrame, keys: Keys, *, within: int | None = None) -> DataFrame:
     """Overlapping or touching spans of a key as one."""
-    if within:
-        spans = _union(spans.withColumn("_slice", F.floor(F.col("s") / within)), [*keys, "_slice"])
-    return _union(spans, keys)
+    if not within:
+        return _union(spans, keys)
+    spans = _union(spans.withColumn("_part", F.floor(F.col("s") / within)), [*keys, "_part"])
+    spans = carried(spans, keys, "_part", maxima={"_reach": F.col("e")})
+    by = Window.partitionBy(*keys, "_part").orderBy("s", "e")
+    reach = F.greatest("_reach", F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = spans.withColumn("_new", F.when(reach.isNull() | (F.col("s") > reach), F.col("s")))
+    runs = carried(runs, keys, "_part", maxima={"_open": F.col("_new")})
+    run = F.coalesce(F.last("_new", True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "_open")
+    return runs.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*keys, "s", "e")
 
 
 def _union(spans: DataFrame, keys: Keys) -> DataFrame:
@@ -30,35 +39,43 @@ def _union(spans: DataFrame, keys: Keys) -> DataFrame:
     return runs.groupBy(*keys, "_run").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*keys, "s", "e")
 
 
-def depths(spans: DataFrame, keys: Keys, **weights: Column) -> DataFrame:
+def depths(spans: DataFrame, keys: Keys, *, within: int | None = None, **weights: Column) -> DataFrame:
     """``*keys, s, e, depth`` and a sum of each weight: how many spans cover each elementary
     segment between their ends; segments without any are left out."""
     weights = {"depth": F.lit(1)} | weights
     weighed = spans.select(*keys, "s", "e", *[w.alias(n) for n, w in weights.items()])
     edge = lambda at, sign: weighed.select(*keys, F.col(at).alias("s"), *[(sign * F.col(n)).alias(n) for n in weights])
     steps = edge("s", 1).union(edge("e", -1)).groupBy(*keys, "s").agg(*[F.sum(n).alias(n) for n in weights])
-    by = Window.partitionBy(*keys).orderBy("s")
+    if within:
+        steps = steps.withColumn("_part", F.floor(F.col("s") / within))
+        steps = carried(steps, keys, "_part", sums={f"_{n}": F.col(n) for n in weights}, minima_after={"_next": F.col("s")})
+        by = Window.partitionBy(*keys, "_part").orderBy("s")
+        stop = F.coalesce(F.lead("s").over(by), "_next")
+    else:
+        by = Window.partitionBy(*keys).orderBy("s")
+        stop = F.lead("s").over(by)
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.select(*keys, "s", F.lead("s").over(by).alias("e"), *[F.sum(n).over(so_far).alias(n) for n in weights])
+    total = lambda n: F.sum(n).over(so_far) + F.coalesce(f"_{n}", F.lit(0)) if within else F.sum(n).over(so_far)
+    rows = steps.select(*keys, "s", stop.alias("e"), *[total(n).alias(n) for n in weights])
     return rows.where("depth > 0 AND e IS NOT NULL")
 
 
-def overlap(spans: DataFrame, keys: Keys, at_least: int = 2) -> DataFrame:
+def overlap(spans: DataFrame, keys: Keys, at_least: int = 2, *, within: int | None = None) -> DataFrame:
     """Where ``at_least`` spans are active at once."""
-    return union(depths(spans, keys).where(F.col("depth") >= at_least), keys)
+    return union(depths(spans, keys, within=within).where(F.col("depth") >= at_least), keys, within=within)
 
 
-def exclusive(spans: DataFrame, keys: Keys, speaker: str) -> DataFrame:
+def exclusive(spans: DataFrame, keys: Keys, speaker: str, *, within: int | None = None) -> DataFrame:
     """Where a speaker is active and no other of the key is.
 
     The only speaker of a segment is the sum of the codes of those active there.
     """
-    active = union(spans, [*keys, speaker])
+    active = union(spans, [*keys, speaker], within=within)
     code = F.xxhash64(speaker).cast("decimal(20,0)")
-    alone = depths(active, keys, _code=code).where("depth = 1")
+    alone = depths(active, keys, within=within, _code=code).where("depth = 1")
     names = active.select(*keys, speaker).distinct().withColumn("_code", code.cast("decimal(38,0)"))
     alone = alone.withColumn("_code", F.col("_code").cast("decimal(38,0)"))
-    return union(alone.join(names, [*keys, "_code"]), [*keys, speaker])
+    return union(alone.join(names, [*keys, "_code"]), [*keys, speaker], within=within)
 
 
 def complement(spans: DataFrame, keys: Keys, start: Column, stop: Column) -> DataFrame:
@@ -78,16 +95,16 @@ def union_with(spans: DataFrame, keys: Keys, start: Column, stop: Column) -> Dat
     return union(bounded.where("s < e"), keys).join(bounds, keys)
 
 
-def combine(sources: list[DataFrame], keys: Keys, at_least: int | None = None) -> DataFrame:
+def combine(sources: list[DataFrame], keys: Keys, at_least: int | None = None, *, within: int | None = None) -> DataFrame:
     """Where at least so many (all, if not given) of the sources are active."""
-    whole = reduce(DataFrame.unionByName, [union(x, keys) for x in sources])
-    return overlap(whole, keys, at_least or len(sources))
+    whole = reduce(DataFrame.unionByName, [union(x, keys, within=within) for x in sources])
+    return overlap(whole, keys, at_least or len(sources), within=within)
 
 
-def subtract(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
+def subtract(a: DataFrame, b: DataFrame, keys: Keys, *, within: int | None = None) -> DataFrame:
     """Where a is active and b isn't."""
-    marked = union(a, keys).withColumn("_a", F.lit(1)).unionByName(union(b, keys).withColumn("_a", F.lit(0)))
-    return union(depths(marked, keys, _in=F.col("_a")).where("depth = 1 AND _in = 1"), keys)
+    marked = union(a, keys, within=within).withColumn("_a", F.lit(1)).unionByName(union(b, keys, within=within).withColumn("_a", F.lit(0)))
+    return union(depths(marked, keys, within=within, _in=F.col("_a")).where("depth = 1 AND _in = 1"), keys, within=within)
 
 
 def at_least(spans: DataFrame, length: int) -> DataFrame:

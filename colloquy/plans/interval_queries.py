@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import frames as fr
 from ..operators import intervals as iv
 from ..operators import splitting
+from ..operators.carried import numbered
 from ..functions import units, vectors
 from .common import HOURLY, UTTERANCES, depth_sql, hourly, table, union_sql, utterances
 
@@ -15,7 +16,7 @@ MINUTE = 60_000_000
 
 
 def overlap_free_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alone = iv.exclusive(utterances(spark, sf_dir), ["session"], "speaker")
+    alone = iv.exclusive(utterances(spark, sf_dir), ["session"], "speaker", within=60 * MINUTE)
     return alone.groupBy("session", "speaker").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("e") - F.col("s")).alias("micros"))
 
 
@@ -31,17 +32,17 @@ def interval_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = utterances(spark, sf_dir)
     pick = lambda t: u.where(F.col("speaker") == t).select("session", "s", "e")
-    return iv.combine([pick("click"), pick("view")], ["session"])
+    return iv.combine([pick("click"), pick("view")], ["session"], within=60 * MINUTE)
 
 
 def interval_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = utterances(spark, sf_dir)
     pick = lambda t: u.where(F.col("speaker") == t).select("session", "s", "e")
-    return iv.subtract(pick("click"), pick("view"), ["session"])
+    return iv.subtract(pick("click"), pick("view"), ["session"], within=60 * MINUTE)
 
 
 def overlap_depth_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = iv.depths(utterances(spark, sf_dir), ["session"])
+    rows = iv.depths(utterances(spark, sf_dir), ["session"], within=60 * MINUTE)
     return rows.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e") - F.col("s")).alias("micros"))
 
 
@@ -93,10 +94,8 @@ def chunk_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a session by the tile that keeps their place, an equi-join on the hop."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").cast("string").alias("session"), "ts")
-    placed = rows.withColumn("frame", F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id")).cast("bigint") - 1)
+    placed = numbered(rows, ["session"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "frame")
     sizes = placed.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     kept = fr.tiles(sizes, 100, 30, F.lit(0).cast("bigint"), F.col("n")).select("session", "s", F.explode(F.sequence(F.col("s_ins"), F.col("e_ins") - 1)).alias("frame"))
     return placed.join(kept, ["session", "frame"]).groupBy("session", "s").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
