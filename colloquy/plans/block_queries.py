@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, estimates
+from ..functions import text
+from ..operators import blocks, estimates, guarded
 from ..operators import intervals as iv
 from ..operators.carried import numbered
+from ..sources import sinks, texts
+from . import stages
 from .common import UTTERANCES, table, union_sql, utterances
 
 MINUTE = 60_000_000
@@ -65,7 +70,44 @@ def segment_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("value > 0")
 
 
-QUERIES = {f.__name__: f for f in (framewise_slices, activity_slices, segment_signals)}
+def _key_number(props: str | None, value: float | None) -> int:
+    if value is None or value < 1:
+        raise guarded.Rejected("too short")
+    number = json.loads(props)["k"]
+    if number % 7 == 0:
+        raise ValueError(number)
+    return number
+
+
+def guarded_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the number that their properties hold, or the reason why there is none."""
+    rows = table(spark, sf_dir, "events").select("event_id", "props", "value")
+    result = guarded.guarded(_key_number, "bigint", "props", "value", caught=(guarded.Rejected, ValueError, KeyError))
+    kept, refused = guarded.quarantined(rows, result, stages.scratch(spark), "number")
+    none = F.lit(None)
+    return kept.select("event_id", "number", none.cast("string").alias("reason")).unionByName(refused.select("event_id", none.cast("bigint").alias("number"), "reason"))
+
+
+def utterance_folder_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations written as a folder of sorted lists and read again."""
+    recording = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.squashed(F.col("text")).alias("words"), recording.alias("recording"))
+    at = F.col("turn") * 10
+    turns = rows.select(
+        F.concat_ws("-", "recording", F.lpad(F.col("turn").cast("string"), 5, "0")).alias("utterance"),
+        "recording", at.cast("string").alias("start"), (at + 7).cast("string").alias("end"), F.concat_ws("_", "recording", "role").alias("speaker"), "words",
+    )
+    path = stages.scratch(spark)
+    sinks.utterance_folder(turns, rows.select(F.col("recording").alias("key")).distinct().withColumn("value", F.concat(F.lit("/audio/"), "key", F.lit(".wav"))), path)
+    lists = {name: texts.read(spark, f"{path}/{name}") for name in ("segments", "utt2spk", "text", "wav.scp", "spk2utt")}
+    back = lists["segments"]
+    for name, on, column in (("utt2spk", "utterance", "speaker"), ("text", "utterance", "words"), ("wav.scp", "recording", "file")):
+        back = back.join(lists[name].withColumnsRenamed({"key": on, "value": column}), on, "left")
+    sizes = lists["spk2utt"].select(F.col("key").alias("speaker"), F.size("values").cast("bigint").alias("of_speaker"))
+    return back.join(sizes, "speaker").select("utterance", "recording", "start", "end", "speaker", "words", "file", "of_speaker")
+
+
+QUERIES = {f.__name__: f for f in (framewise_slices, activity_slices, segment_signals, guarded_properties, utterance_folder_round_trip)}
 
 _MINUTES = f"""{UTTERANCES}, mm AS (SELECT session, speaker, CAST(floor((s - epoch_us(CAST(session AS TIMESTAMP))) / 60000000) AS BIGINT) AS s,
   CAST(floor((e - 1 - epoch_us(CAST(session AS TIMESTAMP))) / 60000000) AS BIGINT) + 1 AS e FROM u), {union_sql("mm", "session, speaker", "x")}"""
@@ -89,4 +131,11 @@ g AS (SELECT session, speaker, s, least(e, 1440) AS e, unnest(generate_series(s,
 v AS (SELECT g.*, coalesce(p, 0) AS p FROM g LEFT JOIN c USING (session, speaker, minute)),
 d AS (SELECT session, speaker, s, e, minute - s AS frame, p - coalesce(lag(p) OVER (PARTITION BY session, speaker, s ORDER BY minute), 0) AS value FROM v)
 SELECT session, speaker, s, e, frame, CAST(value AS BIGINT) AS value FROM d WHERE value > 0""",
+    "guarded_properties": """WITH r AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+c AS (SELECT event_id, k, CASE WHEN value IS NULL OR value < 1 THEN 'too short' WHEN k % 7 = 0 THEN 'ValueError: ' || k END AS reason FROM r)
+SELECT event_id, CASE WHEN reason IS NULL THEN k END AS number, reason FROM c""",
+    "utterance_folder_round_trip": """WITH t AS (SELECT 'c' || conv_id AS recording, turn, role, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS words FROM conversations),
+n AS (SELECT recording, role, count(*) AS of_speaker FROM t GROUP BY ALL)
+SELECT recording || '-' || lpad(CAST(turn AS VARCHAR), 5, '0') AS utterance, recording, CAST(turn * 10 AS VARCHAR) AS start, CAST(turn * 10 + 7 AS VARCHAR) AS "end",
+  recording || '_' || role AS speaker, words, '/audio/' || recording || '.wav' AS file, of_speaker FROM t JOIN n USING (recording, role)""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,6 +25,14 @@ def materialised(spark: SparkSession, path: str, build: Callable[[], DataFrame])
     return spark.read.parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir; without one, beside the warehouse of a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or spark.conf.get('spark.sql.warehouse.dir')}/colloquy-{uuid.uuid4().hex}"
+
+
 def selected(stages: list[str], wanted: str) -> list[str]:
     """``all``, names or numbers with commas, or ranges ``a-b``, in the order of the stages."""
     if wanted == "all":
@@ -44,15 +53,29 @@ def register(alias: str, make: Callable[[], Callable[[list[str]], list[str]]]) -
     MODELS[alias] = make
 
 
-def transcribed(files: DataFrame, path: str, model: str, words: str = "words") -> DataFrame:
-    """``path, words``: the registered model over distinct files; what it can't read is ''."""
+def transcribed(files: DataFrame, path: str, model: str, words: str = "words", unreadable: tuple[type[Exception], ...] = ()) -> DataFrame:
+    """``path, words``: the registered model over distinct files; what it can't read is ''.
+
+    It can't read what gives None or raises one of ``unreadable``; then each file of the batch is tried alone.
+    """
     make = MODELS[model]
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         text = make()
+
+        def alone(file: str) -> str | None:
+            try:
+                return text([file])[0]
+            except unreadable:
+                return None
+
         for paths in batches:
-            yield pd.Series([x or "" for x in text(list(paths))], dtype=object)
+            try:
+                found = text(list(paths))
+            except unreadable:
+                found = [alone(file) for file in paths]
+            yield pd.Series([x or "" for x in found], dtype=object)
 
     return files.select(path, run(path).alias(words))
 

@@ -1,17 +1,20 @@
-"""Text and JSON sinks. Files that one reader expects whole are written as one part."""
+"""Text and JSON sinks. Sorted lists are part files that follow each other by name."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import publishing
+
 
 def key_value(rows: DataFrame, path: str, key: str = "key", value: str = "value") -> None:
-    """``key value`` lines sorted by key."""
-    rows.select(F.concat_ws(" ", key, value).alias("line"), key).coalesce(1).sortWithinPartitions(key).select("line").write.text(path)
+    """``key value`` lines sorted by key, in as many parts as the ranges of keys need."""
+    rows.orderBy(key).select(F.concat_ws(" ", key, value).alias("line")).write.text(path)
 
 
 def lists(rows: DataFrame, path: str, key: str = "key", values: str = "values") -> None:
@@ -28,6 +31,33 @@ def speaker_lists(utt2spk: DataFrame) -> DataFrame:
     return utt2spk.groupBy(F.col("value").alias("key")).agg(F.array_sort(F.collect_list("key")).alias("values"))
 
 
+def utterance_folder(utterances: DataFrame, recordings: DataFrame, path: str) -> None:
+    """A folder of ``segments, utt2spk, spk2utt, text, wav.scp``, each a sorted list, from one job.
+
+    utterances: ``utterance, recording, start, end, speaker, words``; recordings: ``key, value``. Null words have
+    no line in ``text``, and a list without lines isn't written; any other null raises, and so does an utterance
+    given twice. ``path`` appears as a whole, and must not be there before. The format has one line for a
+    speaker, so that a speaker's names are one row.
+    """
+    spark = utterances.sparkSession
+    names = ["utterance", "recording", "start", "end", "speaker"]
+    known = F.when(F.expr(" AND ".join(f"`{n}` IS NOT NULL" for n in names)), F.col("utterance")).otherwise(F.raise_error(F.lit("an utterance lacks a field")))
+    once = utterances.groupBy("utterance").agg(*[F.min(c).alias(c) for c in [*names[1:], "words"]], F.count(F.lit(1)).alias("_n"))
+    once = once.withColumn("utterance", F.when(F.col("_n") == 1, known).otherwise(F.raise_error(F.concat(F.lit("twice: "), "utterance"))))
+    entry = lambda file, value: F.struct(F.lit(file).alias("file"), F.col("utterance").alias("key"), value.alias("value"))
+    entries = F.array(entry("segments", F.concat_ws(" ", "recording", "start", "end")), entry("utt2spk", F.col("speaker")), entry("text", F.col("words")))
+    lines = once.select(F.inline(entries)).where("value IS NOT NULL")
+    speakers = speaker_lists(once.select(F.col("utterance").alias("key"), F.col("speaker").alias("value")))
+    lines = lines.unionByName(speakers.select(F.lit("spk2utt").alias("file"), "key", F.array_join("values", " ").alias("value")))
+    lines = lines.unionByName(recordings.select(F.lit("wav.scp").alias("file"), "key", "value"))
+    fresh = f"{path}-{uuid.uuid4().hex}"
+    lines.orderBy("file", "key").select(F.concat_ws(" ", "key", "value").alias("line"), "file").write.partitionBy("file").text(fresh)
+    for name in publishing.names(spark, fresh):
+        if name.startswith("file="):
+            publishing.rename(spark, f"{fresh}/{name}", f"{fresh}/{name.removeprefix('file=')}")
+    publishing.rename(spark, fresh, path)
+
+
 def seglst(rows: DataFrame, path: str) -> None:
     """One JSON list in each part file; decimal columns keep all their digits."""
 
