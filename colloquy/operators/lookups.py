@@ -30,10 +30,15 @@ def translated(rows: DataFrame, table: DataFrame, key: str, out: str, default: C
 
 
 def filled(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    """``value`` where a row has it, else the table's value of the key, else null; one row a key in the table."""
-    known = table.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    """``value`` where a row has it, else the table's value of the key, else null.
+
+    A key may stand in the table several times with one value; with two, a row that needs it raises.
+    """
+    known = table.groupBy(F.col(key).alias("_k")).agg(F.min(value).alias("_v"), F.max(value).alias("_w"))
     joined = rows.join(known, (F.col(key) == F.col("_k")) & F.col(value).isNull(), "left")
-    return joined.withColumn(value, F.coalesce(value, "_v")).drop("_k", "_v")
+    two = F.raise_error(F.concat(F.lit("two values of "), F.col("_k").cast("string"))).cast(table.schema[value].dataType)
+    found = F.when(F.col("_v") < F.col("_w"), two).otherwise(F.col("_v"))
+    return joined.withColumn(value, F.coalesce(value, found)).drop("_k", "_v", "_w")
 
 
 def place_in(values: Column, value: Column) -> Column:

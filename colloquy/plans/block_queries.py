@@ -7,8 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import blocks, estimates, guarded
+from ..functions import commands, text, vectors
+from ..operators import blocks, estimates, guarded, stats
 from ..operators import intervals as iv
 from ..operators.carried import numbered
 from ..sources import sinks, texts
@@ -107,7 +107,35 @@ def utterance_folder_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(sizes, "speaker").select("utterance", "recording", "start", "end", "speaker", "words", "file", "of_speaker")
 
 
-QUERIES = {f.__name__: f for f in (framewise_slices, activity_slices, segment_signals, guarded_properties, utterance_folder_round_trip)}
+def command_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands that cut a day's stretches out of a file, read back into file, unit and stretches."""
+    spans = iv.union(utterances(spark, sf_dir), ["session", "speaker"], within=60 * MINUTE)
+    packed = spans.groupBy("session", "speaker").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("i"))
+    path = F.concat(F.lit("/audio of "), "session", F.lit("/"), "speaker", F.lit(".wav"))
+    parts = packed.select("session", "speaker", commands.parsed(vectors.trim_command(path, F.col("i"), "s", "norm -0.1")).alias("c"))
+    one = parts.select("session", "speaker", "c.path", "c.unit", "c.effect", F.inline("c.intervals"))
+    return one.withColumns({x: F.col(x).cast("bigint") for x in "se"})
+
+
+def channel_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for each channel of a turn, read back, and the names that follow from it."""
+    plain = F.concat(F.lit("/audio.d/c"), F.col("conv_id").cast("string"), F.lit("_noise.v1.wav"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, plain).otherwise(commands.with_channel(plain, F.col("turn"))).alias("given"))
+    found = rows.withColumn("_c", commands.channel_of(F.col("given"))).select("conv_id", "turn", "given", "_c.path", "_c.channel")
+    name = F.concat(F.lit("_early_ch"), F.coalesce("channel", F.lit(0)).cast("string"))
+    return found.select("*", commands.with_stem_end(F.col("path"), "_ch").alias("with_end"), commands.renamed(F.col("path"), "_noise", name).alias("early"))
+
+
+def cached_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of each dimension of each label's vectors, built once and found again."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "embedding")
+    root = stages.scratch(spark)
+    for _ in range(2):
+        found = stages.cached([rows], root, lambda: stats.mean_std(rows, "embedding", ["label"]), what="mean_std")
+    return found.select("label", F.col("dim").cast("bigint").alias("dim"), F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "n")
+
+
+QUERIES = {f.__name__: f for f in (framewise_slices, activity_slices, segment_signals, guarded_properties, utterance_folder_round_trip, command_round_trip, channel_paths, cached_statistics)}
 
 _MINUTES = f"""{UTTERANCES}, mm AS (SELECT session, speaker, CAST(floor((s - epoch_us(CAST(session AS TIMESTAMP))) / 60000000) AS BIGINT) AS s,
   CAST(floor((e - 1 - epoch_us(CAST(session AS TIMESTAMP))) / 60000000) AS BIGINT) + 1 AS e FROM u), {union_sql("mm", "session, speaker", "x")}"""
@@ -138,4 +166,11 @@ SELECT event_id, CASE WHEN reason IS NULL THEN k END AS number, reason FROM c"""
 n AS (SELECT recording, role, count(*) AS of_speaker FROM t GROUP BY ALL)
 SELECT recording || '-' || lpad(CAST(turn AS VARCHAR), 5, '0') AS utterance, recording, CAST(turn * 10 AS VARCHAR) AS start, CAST(turn * 10 + 7 AS VARCHAR) AS "end",
   recording || '_' || role AS speaker, words, '/audio/' || recording || '.wav' AS file, of_speaker FROM t JOIN n USING (recording, role)""",
+    "command_round_trip": f"""WITH {UTTERANCES}, {union_sql("u", "session, speaker", "x")}
+SELECT session, speaker, '/audio of ' || session || '/' || speaker || '.wav' AS path, 's' AS unit, 'norm -0.1' AS effect, s, e FROM x""",
+    "channel_paths": """WITH r AS (SELECT conv_id, turn, '/audio.d/c' || conv_id || '_noise.v1.wav' AS path, CASE WHEN turn % 3 <> 0 THEN CAST(turn AS INT) END AS channel FROM conversations)
+SELECT *, path || CASE WHEN channel IS NULL THEN '' ELSE '::[:,' || channel || ':' || (channel + 1) || ']' END AS given,
+  '/audio.d/c' || conv_id || '_noise.v1_ch.wav' AS with_end, '/audio.d/c' || conv_id || '_early_ch' || coalesce(channel, 0) || '.v1.wav' AS early FROM r""",
+    "cached_statistics": """WITH d AS (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT label, dim, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, count(x) AS n FROM d GROUP BY ALL""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import publishing
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -25,6 +29,28 @@ def materialised(spark: SparkSession, path: str, build: Callable[[], DataFrame])
     return spark.read.parquet(path)
 
 
+def cached(inputs: list[DataFrame], root: str, build: Callable[[], DataFrame], **parameters: object) -> DataFrame:
+    """The result of ``build`` for these inputs and parameters, stored in ``root`` by what they hold.
+
+    Found again only for equal rows, columns, types and parameters; give the columns that the result depends
+    on, since the inputs are read for the key. A JSON copy to look at lies beside the exact table. Of two
+    builders of one key the first to end counts.
+    """
+    spark = inputs[0].sparkSession
+    held = json.dumps([[publishing.digest(x) for x in inputs], parameters], sort_keys=True, default=str)
+    path = f"{root}/{hashlib.sha256(held.encode()).hexdigest()[:32]}"
+    if not exists(spark, path):
+        fresh = f"{path}-{uuid.uuid4().hex}"
+        build().write.parquet(fresh)
+        try:
+            publishing.rename(spark, fresh, path)
+        except FileExistsError:
+            pass
+        else:
+            spark.read.parquet(path).write.json(f"{path}.json")
+    return spark.read.parquet(path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder of spark.checkpoint.dir; without one, beside the warehouse of a local session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
