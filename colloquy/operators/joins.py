@@ -39,6 +39,35 @@ def first_of_equals(rows: DataFrame, keys: list[str], order: list[str]) -> DataF
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def first_if_equal(rows: DataFrame, keys: list[str], order: list[str], equal: list[str]) -> DataFrame:
+    """One row a key: the first in order; raises where rows of a key differ in ``equal``."""
+    whole, same = F.struct(*rows.columns), F.struct(*equal)
+    once = rows.groupBy(*keys).agg(F.min_by(whole, F.struct(*order)).alias("_r"), F.min(same).alias("_a"), F.max(same).alias("_b"))
+    checked = F.when(F.col("_a") == F.col("_b"), F.col("_r")).otherwise(F.raise_error(F.lit("rows of one key differ")))
+    return once.select(checked.alias("_r")).select("_r.*")
+
+
+def disjoint(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
+    """ValueError with one of them if a and b share keys; nulls are equal."""
+    shared = a.select(*keys).intersect(b.select(*keys)).first()
+    if shared is not None:
+        raise ValueError(f"in both: {shared.asDict()}")
+
+
+def renamed_ids(rows: DataFrame, key: str, name: Column) -> DataFrame:
+    """``key`` replaced by ``name``, a column made of it; raises where there is no name or two keys get one.
+
+    Names are counted over distinct keys; only those that are wrong are joined with the rows.
+    """
+    known = rows.select(F.col(key)).distinct().withColumn("_name", name)
+    names = known.groupBy("_name").agg(F.count(F.lit(1)).alias("_n"))
+    wrong = F.raise_error(F.concat(F.lit("no name of its own: "), F.coalesce(F.col(key), F.lit("null")))).cast("string")
+    checked = names.where("_n > 1 OR _name IS NULL").withColumnRenamed("_name", "_bad")
+    joined = rows.withColumn("_name", name).join(checked, F.col("_name").eqNullSafe(F.col("_bad")), "left")
+    fine = F.col("_n").isNull()
+    return joined.withColumn(key, F.when(fine, F.col("_name")).otherwise(wrong)).drop("_name", "_bad", "_n")
+
+
 def same_sets(a: Column, b: Column) -> Column:
     """Whether two arrays have the same elements."""
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)

@@ -46,6 +46,29 @@ def retention(rows: DataFrame, kept: Column, divisor: int) -> DataFrame:
     return counted.withColumn("enough", F.col("n_kept") > F.floor(F.col("n") / divisor))
 
 
+def retained(rows: DataFrame, kept: Column, divisor: int) -> DataFrame:
+    """The kept rows; ValueError, after one pass over the rows, unless they are more than rows / divisor."""
+    found = retention(rows, kept, divisor).first()
+    if not found["enough"]:
+        raise ValueError(f"only {found['n_kept']} of {found['n']} rows would be kept")
+    return rows.where(kept)
+
+
+def speaker_spans(rows: DataFrame, spans: str, speaker: str = "speaker") -> DataFrame:
+    """A map from speakers to arrays of structs, as a row for each struct; no row for an empty or null one."""
+    others = [c for c in rows.columns if c != spans]
+    each = rows.select(*others, F.explode(spans).alias(speaker, "_spans"))
+    return each.select(*others, speaker, F.inline("_spans"))
+
+
+def stacked(rows: DataFrame, keys: list[str], channel: str, value: str) -> DataFrame:
+    """``*keys, values``: the channels of a key in order; a channel missing from 0 on, or there twice, raises."""
+    order = F.array_sort(F.collect_list(F.struct(F.col(channel).alias("at"), F.col(value).alias("value"))), lambda a, b: (a["at"] - b["at"]).cast("int"))
+    packed = rows.groupBy(*keys).agg(order.alias("_x"))
+    whole = F.transform("_x", lambda x: x["at"].cast("bigint")) == F.sequence(F.lit(0).cast("bigint"), F.size("_x").cast("bigint") - 1)
+    return packed.select(*keys, F.when(whole, F.transform("_x", lambda x: x["value"])).otherwise(F.raise_error(F.lit("a channel is missing or repeated"))).alias("values"))
+
+
 def inverted(rows: DataFrame, key: str, value: str) -> DataFrame:
     """``value, keys``: the sorted distinct keys of each value."""
     return rows.groupBy(value).agg(F.array_sort(F.collect_set(key)).alias("keys"))

@@ -7,8 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import commands, text, vectors
-from ..operators import blocks, estimates, guarded, stats
+from ..functions import commands, ids, text, vectors
+from ..operators import blocks, estimates, guarded, joins, reshape, stats
 from ..operators import intervals as iv
 from ..operators.carried import numbered
 from ..sources import sinks, texts
@@ -135,7 +135,28 @@ def cached_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label", F.col("dim").cast("bigint").alias("dim"), F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "n")
 
 
-QUERIES = {f.__name__: f for f in (framewise_slices, activity_slices, segment_signals, guarded_properties, utterance_folder_round_trip, command_round_trip, channel_paths, cached_statistics)}
+def speaker_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as maps from speakers to their minutes of activity, and back to rows."""
+    each = _minutes(spark, sf_dir).groupBy("session", "speaker").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    days = each.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("speaker", "spans"))).alias("spans"))
+    return reshape.speaker_spans(days, "spans")
+
+
+def stacked_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as eight channels of eight values, stacked again: the last value of each channel."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("channel"), "embedding")
+    rows = rows.withColumn("part", F.slice("embedding", F.col("channel") * 8 + 1, F.lit(8)))
+    return reshape.stacked(rows, ["vec_id"], "channel", "part").select("vec_id", F.transform("values", lambda x: F.round(F.get(x, 7).cast("double") * 1000).cast("bigint")).alias("milli"))
+
+
+def canonical_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of sessions under folder names joined with a table of canonical names, after renaming."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("overlap_ratio_40.0_sil0.1_1.0_session"), F.col("conv_id").cast("string"), F.lit("_actual39.9")).alias("session"))
+    known = rows.groupBy(F.concat(F.lit("session"), F.col("conv_id").cast("string"), F.lit("_CH0_OV40")).alias("session")).agg(F.count(F.lit(1)).alias("n_turns"))
+    return joins.renamed_ids(rows, "session", ids.canonical(F.col("session"))).join(known, "session")
+
+
+QUERIES = {f.__name__: f for f in (framewise_slices, activity_slices, segment_signals, guarded_properties, utterance_folder_round_trip, command_round_trip, channel_paths, cached_statistics, speaker_spans, stacked_channels, canonical_sessions)}
 
 _MINUTES = f"""{UTTERANCES}, mm AS (SELECT session, speaker, CAST(floor((s - epoch_us(CAST(session AS TIMESTAMP))) / 60000000) AS BIGINT) AS s,
   CAST(floor((e - 1 - epoch_us(CAST(session AS TIMESTAMP))) / 60000000) AS BIGINT) + 1 AS e FROM u), {union_sql("mm", "session, speaker", "x")}"""
@@ -173,4 +194,7 @@ SELECT *, path || CASE WHEN channel IS NULL THEN '' ELSE '::[:,' || channel || '
   '/audio.d/c' || conv_id || '_noise.v1_ch.wav' AS with_end, '/audio.d/c' || conv_id || '_early_ch' || coalesce(channel, 0) || '.v1.wav' AS early FROM r""",
     "cached_statistics": """WITH d AS (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
 SELECT label, dim, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, count(x) AS n FROM d GROUP BY ALL""",
+    "speaker_spans": f"WITH {_MINUTES} SELECT session, speaker, s, e FROM x",
+    "stacked_channels": "SELECT vec_id, list_transform(range(1, 9), lambda i: CAST(round(CAST(embedding[8 * i] AS DOUBLE) * 1000) AS BIGINT)) AS milli FROM embeddings",
+    "canonical_sessions": "SELECT conv_id, turn, 'session' || conv_id || '_CH0_OV40' AS session, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations",
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import ids, vectors
-from colloquy.operators import lookups
+from colloquy.operators import joins, lookups, reshape
 
 
 def test_id_modes(spark):
@@ -59,3 +59,34 @@ def test_place_and_commands(spark):
     assert row.select(vectors.trim_command(F.lit("f"), F.col("i"), "", "norm -0.1")).first()[0] == "sox -t wav f -t wav - trim =1.2 =2.0 =10.0 =11 norm -0.1 |"
     with pytest.raises(Exception, match="not sorted"):
         row.select(vectors.trim_command(F.lit("f"), F.reverse("i"))).collect()
+
+
+def test_checks_that_fail(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(9)], "i int, k int")
+    assert reshape.retained(rows, F.col("k") > 0, 2).count() == 6
+    with pytest.raises(ValueError, match="only 3 of 9"):
+        reshape.retained(rows, F.col("k") == 0, 3)
+    joins.disjoint(rows.where("k = 0"), rows.where("k = 1"), ["i"])
+    with pytest.raises(ValueError, match="in both"):
+        joins.disjoint(rows, rows.where("i = 4"), ["i"])
+    assert sorted(tuple(r) for r in joins.first_if_equal(rows, ["k"], ["i"], ["k"]).collect()) == [(0, 0), (1, 1), (2, 2)]
+    with pytest.raises(Exception, match="one key differ"):
+        joins.first_if_equal(rows, ["k"], ["i"], ["i"]).collect()
+
+
+def test_renamed_ids(spark):
+    rows = spark.createDataFrame([("a1", 1), ("a1", 2), ("b2", 3)], "k string, i int")
+    assert sorted(tuple(r) for r in joins.renamed_ids(rows, "k", F.upper("k")).collect()) == [("A1", 1), ("A1", 2), ("B2", 3)]
+    for bad in (F.lit("x"), F.when(F.col("k") == "b2", F.lit("q"))):
+        with pytest.raises(Exception, match="no name of its own"):
+            joins.renamed_ids(rows, "k", bad).collect()
+
+
+def test_spans_and_channels(spark):
+    rows = spark.sql("SELECT 1 AS d, map('a', array(named_struct('s', 1, 'e', 2), named_struct('s', 4, 'e', 5)), 'b', array()) AS m UNION ALL SELECT 2, NULL")
+    assert sorted(tuple(r) for r in reshape.speaker_spans(rows, "m").collect()) == [(1, "a", 1, 2), (1, "a", 4, 5)]
+    parts = lambda *at: spark.createDataFrame([(7, c, [float(c)]) for c in at], "k int, c int, v array<double>")
+    assert reshape.stacked(parts(2, 0, 1), ["k"], "c", "v").first()["values"] == [[0.0], [1.0], [2.0]]
+    for at in ((0, 2), (1, 2), (0, 0)):
+        with pytest.raises(Exception, match="a channel is missing"):
+            reshape.stacked(parts(*at), ["k"], "c", "v").collect()
