@@ -3,6 +3,8 @@
 Everything is one sort a key and window functions over it. Where one key holds a large share of
 the rows, ``within`` cuts it into slices of that length by the starts of its spans: each slice is
 sorted on its own, and only one row a slice is carried along the key. The results are the same.
+Each such step reads its input twice or more, so a chain of them (exclusive, combine, subtract) is for
+spans that have been written, or for keys that a task can't sort.
 """
 
 from __future__ import annotations
