@@ -1,6 +1,7 @@
 """Queries over the driver's tables and the SQL that checks them."""
 
-from .plans import block_queries, interval_queries, lookup_queries, row_queries, score_queries
+from .plans import block_queries, interval_queries, lookup_queries, row_queries, score_queries, source_queries
 
-QUERIES = block_queries.QUERIES | interval_queries.QUERIES | row_queries.QUERIES | lookup_queries.QUERIES | score_queries.QUERIES
-ORACLE_SQL = block_queries.ORACLE_SQL | interval_queries.ORACLE_SQL | row_queries.ORACLE_SQL | lookup_queries.ORACLE_SQL | score_queries.ORACLE_SQL
+MODULES = (block_queries, interval_queries, row_queries, lookup_queries, score_queries, source_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

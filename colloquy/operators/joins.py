@@ -83,3 +83,25 @@ def once_for_each(rows: DataFrame, key: str, compute, weight: Column | None = No
     if weight is not None:
         distinct = distinct.repartition(key).sortWithinPartitions(F.desc("_w")).drop("_w")
     return rows.join(compute(distinct), key, "left")
+
+
+def speaker_vectors(examples: DataFrame, table: DataFrame, *, estimate: Column | None = None) -> DataFrame:
+    """Examples with ``vectors``, one for each of their speakers, and ``reason``, null where they have all of them.
+
+    examples: ``example_id, embedding_id, speaker_id`` (an array, repeats allowed); they take the vectors of
+    ``embedding_id``, else of ``example_id``. table: ``example_id, speaker_id, ord, path, embedding``, a row for
+    each speaker of a recording, whose last row counts. Vectors come in order of the example's speakers; where
+    ``estimate`` holds, whose speakers have no names in common, in order of the table's. The reasons: no
+    vectors, other speakers, an empty path.
+    """
+    entry = F.struct("ord", "speaker_id", "path", "embedding")
+    held = table.groupBy(F.col("example_id").alias("_id")).agg(F.array_sort(F.collect_list(entry)).alias("_t"))
+    both = examples.withColumn("_key", F.coalesce("embedding_id", "example_id")).join(held, F.col("_key") == F.col("_id"), "left")
+    theirs = F.array_distinct(F.col("_t.speaker_id"))
+    own = F.array_distinct("speaker_id")
+    free = F.coalesce(estimate, F.lit(False)) if estimate is not None else F.lit(False)
+    empty = F.exists("_t", lambda x: F.coalesce(x["path"], F.lit("")) == "")
+    reason = F.when(F.col("_t").isNull(), "no vectors").when(~free & ~F.coalesce(same_sets(own, theirs), F.lit(False)), "other speakers").when(~free & empty, "an empty path")
+    of = lambda speaker: F.element_at(F.filter("_t", lambda x: x["speaker_id"] == speaker), -1)["embedding"]
+    vectors = F.transform(F.when(free, theirs).otherwise(own), of)
+    return both.withColumn("reason", reason).withColumn("vectors", F.when(F.col("reason").isNull(), vectors)).select(*examples.columns, "vectors", "reason")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
+
+from ..functions.commands import with_channel
 
 
 def utterances(examples: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
@@ -15,16 +20,43 @@ def utterances(examples: DataFrame, keys: list[str], arrays: list[str]) -> DataF
     return rows.select(*keys, "ord", *[F.col(f"_u.{a}").alias(a) for a in arrays])
 
 
-def examples(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Rows of a key as parallel arrays in order."""
-    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), *columns))).alias("_u"))
-    return packed.select(*keys, *[F.col(f"_u.{c}").alias(c) for c in columns])
+def examples(rows: DataFrame, keys: list[str], order: str, columns: list[str], constant: list[str] | None = None) -> DataFrame:
+    """Rows of a key as parallel arrays in order. constant: columns of one value a key, kept once; two values raise."""
+    constant = constant or []
+    ends = [F.struct(F.min(c).alias("a"), F.max(c).alias("b"), F.count(c).alias("n")).alias(f"_{c}") for c in constant]
+    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), *columns))).alias("_u"), F.count(F.lit(1)).alias("_rows"), *ends)
+    equal = lambda c: F.col(f"_{c}.a").eqNullSafe(F.col(f"_{c}.b")) & F.col(f"_{c}.n").isin(F.lit(0), F.col("_rows"))
+    one = [F.when(equal(c), F.col(f"_{c}.a")).otherwise(F.raise_error(F.lit(f"{c} differs inside a key"))).alias(c) for c in constant]
+    return packed.select(*keys, *[F.col(f"_u.{c}").alias(c) for c in columns], *one)
+
+
+def once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows; raises where a key is there twice. Only such keys are joined with the rows."""
+    twice = duplicates(rows, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "n")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = rows.join(twice, same, "left")
+    checked = F.when(F.col("n").isNull(), F.col(keys[0])).otherwise(F.raise_error(F.concat(F.lit("twice: "), F.concat_ws(" ", *keys))))
+    return joined.withColumn(keys[0], checked).select(*rows.columns)
+
+
+def explode_channels(rows: DataFrame, key: str, files: str, suffix, *, parallel: list[str] | None = None, each: list[str] | None = None, within: list[str] | None = None) -> DataFrame:
+    """A row for each file: ``key`` gets the file's suffix, ``parent`` keeps the old key.
+
+    parallel: columns cut along: of an array the file's own element, as an array; a path to all channels gets the
+    slice of the file's channel. each: arrays of such columns. within: columns inside which the new keys must
+    differ (none: everywhere); equal ones raise. Without any of the three nothing is cut or compared.
+    """
+    cut = rows.withColumn("parent", F.col(key)).select(*rows.columns, "parent", F.posexplode(files).alias("_at", "_file")).withColumn(files, F.col("_file"))
 
+    def channel(kind: DataType) -> Callable[[Column], Column]:
+        return (lambda x: with_channel(x, F.col("_at"))) if isinstance(kind, StringType) else (lambda x: F.array(F.get(x, F.col("_at"))))
 
-def explode_channels(rows: DataFrame, key: str, files: str, suffix) -> DataFrame:
-    """A row for each file: ``key`` gets the file's suffix, ``parent`` keeps the old key."""
-    each = rows.withColumn("parent", F.col(key)).withColumn(files, F.explode(files))
-    return each.withColumn(key, F.concat_ws("_", F.col(key), suffix(F.col(files))))
+    for name in parallel or []:
+        cut = cut.withColumn(name, channel(rows.schema[name].dataType)(F.col(name)))
+    for name in each or []:
+        cut = cut.withColumn(name, F.transform(name, channel(rows.schema[name].dataType.elementType)))
+    named = cut.withColumn(key, F.concat_ws("_", F.col(key), suffix(F.col(files)))).drop("_at", "_file")
+    return named if parallel is None and each is None and within is None else once(named, [key, *(within or [])])
 
 
 def broadcast_channels(rows: DataFrame, key: str, n: int, template: str = "{}_ch{}") -> DataFrame:

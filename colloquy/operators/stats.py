@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def mean_std(rows: DataFrame, vector: str, by: list[str] | None = None) -> DataFrame:
@@ -31,6 +32,13 @@ def embedding_mean_std(rows: DataFrame, vector: str, path: str, by: list[str] |
     return mean_std(rows.where(F.col(path) != "").dropDuplicates([path]), vector, by)
 
 
+def auxiliary_mean_std(rows: DataFrame, auxiliary: str, by: list[str] | None = None) -> DataFrame:
+    """mean_std() of vectors, or of all vectors in matrices (arrays of vectors, a row for each speaker)."""
+    element = rows.schema[auxiliary].dataType.elementType
+    flat = rows.select(*(by or []), F.explode(auxiliary).alias(auxiliary)) if isinstance(element, ArrayType) else rows
+    return mean_std(flat, auxiliary, by)
+
+
 def as_arrays(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``*by, mean, std`` as arrays in the order of ``dim``: one row a group, as long as a vector."""
     rows = stats.groupBy(*(by or [])).agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "std"))).alias("_s"))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..schema import SEGLST
 
 
-def database(spark: SparkSession, path: str | list[str], example: str, datasets: list[str] | None = None) -> DataFrame:
+def database(spark: SparkSession, path: str | list[str], example: str, datasets: list[str] | None = None, *, lines: bool = False) -> DataFrame:
     """``dataset, example_id, example`` of ``{"datasets": {name: {id: example}}}`` documents.
 
-    example: the examples' type as DDL. datasets: only these, in a filter before the explode.
+    example: the examples' type as DDL. datasets: only these, in a filter before the explode. A file is one
+    document and so one task; with ``lines`` each line is one (sinks.database_lines()), and files are split.
     """
-    docs = spark.read.schema(f"datasets MAP<STRING, MAP<STRING, {example}>>").json(path, multiLine=True)
+    docs = spark.read.schema(f"datasets MAP<STRING, MAP<STRING, {example}>>").json(path, multiLine=not lines)
     names = docs.select(F.explode("datasets").alias("dataset", "_e"))
     names = names.where(F.col("dataset").isin(datasets)) if datasets else names
     return names.select("dataset", F.explode("_e").alias("example_id", "example"))
@@ -43,9 +44,9 @@ def with_paths(value, **folders: str):
 
 
 def selected(spark: SparkSession, configs: dict[str, dict], names: list[str], example: str, **folders: str) -> DataFrame:
-    """The examples of the named configurations (``path`` and maybe ``datasets``); others aren't read."""
+    """The examples of the named configurations (``path``, maybe ``datasets`` and ``lines``); others aren't read."""
     wanted = [with_paths(configs[n], **folders) for n in names]
-    return union([database(spark, c["path"], example, c.get("datasets")) for c in wanted])
+    return union([database(spark, c["path"], example, c.get("datasets"), lines=c.get("lines", False)) for c in wanted])
 
 
 def routed(tables: dict[str, DataFrame], variant: str, datasets: list[str] | None = None) -> DataFrame:

@@ -12,9 +12,23 @@ from pyspark.sql import functions as F
 from . import publishing
 
 
-def key_value(rows: DataFrame, path: str, key: str = "key", value: str = "value") -> None:
-    """``key value`` lines sorted by key, in as many parts as the ranges of keys need."""
-    rows.orderBy(key).select(F.concat_ws(" ", key, value).alias("line")).write.text(path)
+def key_value(rows: DataFrame, path: str, key: str = "key", value: str = "value", dataset: str | None = None) -> None:
+    """``key value`` lines sorted by key, in as many parts as the ranges of keys need.
+
+    dataset: a column; each of its values gets a folder ``dataset=...`` of its own, sorted the same way.
+    """
+    line = F.concat_ws(" ", key, value).alias("line")
+    if dataset:
+        rows.orderBy(dataset, key).select(line, F.col(dataset).alias("dataset")).write.partitionBy("dataset").text(path)
+    else:
+        rows.orderBy(key).select(line).write.text(path)
+
+
+def hypotheses(rows: DataFrame, folder: str, model: str, key: str = "key", words: str = "words") -> str:
+    """The words that a model found, as ``key words`` lines without an order; the path, which names the model."""
+    path = f"{folder}/text_hyp_{model}"
+    rows.select(F.concat_ws(" ", key, words).alias("line")).write.text(path)
+    return path
 
 
 def lists(rows: DataFrame, path: str, key: str = "key", values: str = "values") -> None:
@@ -59,7 +73,7 @@ def utterance_folder(utterances: DataFrame, recordings: DataFrame, path: str) ->
 
 
 def seglst(rows: DataFrame, path: str) -> None:
-    """One JSON list in each part file; decimal columns keep all their digits."""
+    """One JSON list of segments, or of any other rows, in each part file; decimal columns keep all their digits."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opening = "["
@@ -77,6 +91,12 @@ def database(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("dataset").parquet(path)
 
 
+def database_lines(rows: DataFrame, path: str) -> None:
+    """``dataset, example_id, example`` as JSON, a line for each example that is a whole document by itself."""
+    held = F.create_map("dataset", F.create_map("example_id", "example"))
+    rows.select(F.to_json(F.struct(held.alias("datasets"))).alias("line")).write.text(path)
+
+
 def rttm(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     """SPEAKER lines; an existing target stays unless it's to be overwritten."""
     line = F.concat_ws(" ", F.lit("SPEAKER"), "session_id", F.lit("1"), F.col("start_time").cast("string"), F.col("duration").cast("string"), F.lit("<NA> <NA>"), "speaker", F.lit("<NA> <NA>"))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators.joins import renamed_ids
+
+#: The dataset in the paths of lists that a sink wrote with a folder for each dataset.
+DATASET = r"/dataset=([^/]+)/[^/]+$"
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that aren't blank, with their file and place: file, block and number, in that order.
@@ -16,11 +24,21 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line"), meta["file_path"].alias("file"), place.alias("place")).where("line <> ''")
 
 
-def key_value(spark: SparkSession, path: str) -> DataFrame:
-    """``key, value``: cut at the first white space, '' for no value; the last of equal keys, files by name."""
+def path_part(path: Column, pattern: str) -> Column:
+    """What the pattern's one group finds in a path; a path that it doesn't match raises."""
+    return F.when(path.rlike(pattern), F.regexp_extract(path, pattern, 1)).otherwise(F.raise_error(F.concat(F.lit("no name in this path: "), path)).cast("string"))
+
+
+def key_value(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """``key, value``: cut at the first white space, '' for no value; the last of equal keys, files by name.
+
+    dataset: a pattern with one group, for paths that stand for many files; ``dataset`` is what it finds in a
+    file's path, and keys are equal only inside one.
+    """
     parts = F.split("line", r"\s+", 2)
-    rows = _lines(spark, path).select(F.get(parts, 0).alias("key"), F.coalesce(F.get(parts, 1), F.lit("")).alias("value"), "place")
-    return rows.groupBy("key").agg(F.max_by("value", "place").alias("value"))
+    keys = [F.get(parts, 0).alias("key")] + ([path_part(F.col("file"), dataset).alias("dataset")] if dataset else [])
+    rows = _lines(spark, path).select(*keys, F.coalesce(F.get(parts, 1), F.lit("")).alias("value"), "place")
+    return rows.groupBy(*[c for c in ("dataset", "key") if c in rows.columns]).agg(F.max_by("value", "place").alias("value"))
 
 
 def durations(spark: SparkSession, path: str) -> DataFrame:
@@ -55,18 +73,23 @@ READERS = {"wav.scp": key_value, "text": key_value, "utt2spk": key_value, "utt2d
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The reader that the file's name stands for."""
+    """The reader that the file's name stands for; ``text_hyp_`` and any model's name is a text."""
     name = path.rstrip("/").rpartition("/")[2]
-    if name not in READERS:
+    known = "text" if name.startswith("text_hyp_") else name
+    if known not in READERS:
         raise ValueError(f"no reader for {name!r}; there are {sorted(READERS)}")
-    return READERS[name](spark, path)
+    return READERS[known](spark, path)
 
 
-def rttm(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``session_id, speaker, start_time, duration`` of the SPEAKER lines."""
+def rttm(spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``session_id, speaker, start_time, duration`` of the SPEAKER lines of one file or many.
+
+    name: makes other ids of the files' ids; raises where there is none or where two sessions would become one.
+    """
     p = F.split("line", r"\s+")
     rows = _lines(spark, path).where(F.col("line").startswith("SPEAKER"))
-    return rows.select(F.get(p, 1).alias("session_id"), F.get(p, 7).alias("speaker"), F.get(p, 3).cast("decimal(18,7)").alias("start_time"), F.get(p, 4).cast("decimal(18,7)").alias("duration"))
+    rows = rows.select(F.get(p, 1).alias("session_id"), F.get(p, 7).alias("speaker"), F.get(p, 3).cast("decimal(18,7)").alias("start_time"), F.get(p, 4).cast("decimal(18,7)").alias("duration"))
+    return renamed_ids(rows, "session_id", name(F.col("session_id"))) if name else rows
 
 
 def stm(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -77,7 +100,16 @@ def stm(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select(F.get(p, 0).alias("session_id"), F.get(p, 1).alias("channel"), F.get(p, 2).alias("speaker"), time(3, "start_time"), time(4, "end_time"), F.coalesce(F.get(p, 5), F.lit("")).alias("words"))
 
 
-def meeting_info(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated utterances with a header; ``meeting`` is the folder two above the file."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema="start_time DECIMAL(18,7), end_time DECIMAL(18,7), speaker STRING, utterance_id STRING, transcription STRING", enforceSchema=False)
-    return rows.withColumn("meeting", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/transcription/[^/]+$", 1))
+def normalised(rows: DataFrame) -> DataFrame:
+    """stm() rows with cleaned words, '' where none are left, and without the channel in the session's name."""
+    return rows.withColumns({"words": F.coalesce(text.cleaned(F.col("words")), F.lit("")), "session_id": F.replace("session_id", F.lit("_CH0_"), F.lit("_"))})
+
+
+def meeting_info(spark: SparkSession, path: str, meeting: str = r"([^/]+)/transcription/[^/]+$") -> DataFrame:
+    """Tab-separated utterances with a header; a quote inside quotes is written twice.
+
+    meeting: what finds the meeting's name in a file's path, by default the folder two above the file.
+    """
+    schema = "start_time DECIMAL(18,7), end_time DECIMAL(18,7), speaker STRING, utterance_id STRING, transcription STRING"
+    rows = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', schema=schema, enforceSchema=False)
+    return rows.withColumn("meeting", path_part(F.col("_metadata.file_path"), meeting))
