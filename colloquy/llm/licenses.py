@@ -2,12 +2,16 @@
 
 Each unit of a text (its lines, its paragraphs and the whole) is normalised and compared with
 every template that its size lets reach the threshold: Dice of at least t needs the smaller set
-to have t / (2 - t) times the bigrams of the larger one. Built-in expressions in one projection:
-no shuffle, no Python; the templates are literals of fixed size in the plan.
-
-Defined cases: a null or empty text, or one that matches nothing, has a null license, Dice 0
-and no notices; of equal scores the template first by name wins; repeated rows are scanned each
-for itself; an empty table gives an empty result; other columns are ignored.
+to have t / (2 - t) times the bigrams of the larger one. A license that is wrapped over lines,
+stands behind comment marks or lies among other paragraphs is no unit; it is a run of the text's
+words. Long templates have three anchors each (their first, middle and last four words): where one
+occurs, the run of words around it, as long as the template, is a unit for this template.
+Built-in expressions, no shuffle, no Python; the templates are literals of fixed size in the plan.
+
+Defined cases: a null or empty text, or one that matches nothing, has a null license, Dice 0,
+no notices and no runs; of equal scores the template with more bigrams wins, then the first by
+name; a run that the text's ends or the same anchor cut off is compared as it is; repeated rows
+are scanned each for itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,6 +59,21 @@ def template_bigrams(text: str) -> list[tuple[str, str]]:
 
 #: What a scan compares with, and its SQL.
 KNOWN = TEMPLATES | FULL_TEXTS
+#: Words in an anchor, and words of a template that is looked for in runs.
+ANCHOR, RUN_WORDS = 4, 20
+
+
+def anchors(text: str) -> list[tuple[int, str, int]]:
+    """The anchors of a template: words before, the phrase, words after; none for a short one."""
+    words = re.sub(r"[^A-Za-z0-9]+", " ", text).strip().lower().split(" ")
+    n = len(words)
+    at = sorted({0, (n - ANCHOR) // 2, n - ANCHOR}) if n >= RUN_WORDS else []
+    return [(i, " ".join(words[i : i + ANCHOR]), n - i - ANCHOR) for i in at]
+
+
+def family(name: Column) -> Column:
+    """The license that a template belongs to."""
+    return F.regexp_replace(name, " (notice|text)$", "")
 
 
 def normalised(text: Column) -> Column:
@@ -68,40 +87,61 @@ def _bigrams(units: Column) -> Column:
     return F.transform(units, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), pair(w))))
 
 
+def _runs(text: Column, before: int, phrase: str, after: int) -> Column:
+    """The words around each occurrence of a phrase in a normalised text with a space at both ends."""
+    words = lambda piece: F.filter(F.split(piece, " "), lambda w: w != "")
+    first = lambda w: F.slice(w, 1, after)
+    last = lambda w: F.slice(w, F.greatest(F.size(w) - before + 1, F.lit(1)), before)
+    held = F.array(*[F.lit(w) for w in phrase.split(" ")])
+    around = lambda p: lambda i: F.concat(last(words(F.get(p, i - 1))), held, first(words(F.get(p, i))))
+    pieces = F.transform(F.array(F.split(text, f" {phrase} ")), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), around(p)))
+    return F.when(text.contains(f" {phrase} "), F.flatten(pieces)).otherwise(F.array().cast("array<array<string>>"))
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``id_col, license, dice, n_notices``: the best template at or over the threshold and how
-    many lines match one."""
-    texts = {k: template_bigrams(v) for k, v in sorted((KNOWN if templates is None else templates).items())}
-    known = F.array(
-        *[
-            F.struct(
-                F.lit(-i).alias("order"),
-                F.lit(name).alias("name"),
-                F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in grams]).alias("grams"),
-                F.lit(len(grams)).alias("n"),
-            )
-            for i, (name, grams) in enumerate(texts.items())
-        ]
-    )
+    """``id_col, license, dice, n_notices, family, n_runs``: the best template at or over the threshold, how
+    many lines match one, what license the best one belongs to and how many licenses runs match."""
+    templates = KNOWN if templates is None else templates
+    texts = {k: template_bigrams(v) for k, v in sorted(templates.items())}
+    each = [
+        F.struct(
+            F.lit(-i).alias("order"),
+            F.lit(name).alias("name"),
+            F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in grams]).alias("grams"),
+            F.lit(len(grams)).alias("n"),
+        )
+        for i, (name, grams) in enumerate(texts.items())
+    ]
+    known = F.array(*each)
     low, ratio = min(map(len, texts.values())), threshold / (2 - threshold)
     high = max(map(len, texts.values()))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     cut = lambda by: F.transform(F.split("_text", by), lambda x: F.split(normalised(x), " "))
-    whole = F.when(F.col("_text").contains("\n"), F.array(F.split(normalised(F.col("_text")), " "))).otherwise(F.array().cast("array<array<string>>"))
+    rows = rows.withColumn("_clean", normalised(F.col("_text"))).withColumn("_padded", F.concat(F.lit(" "), "_clean", F.lit(" ")))
+    whole = F.when(F.col("_text").contains("\n"), F.array(F.split("_clean", " "))).otherwise(F.array().cast("array<array<string>>"))
     blocks = F.when(F.col("_text").rlike(r"\n\s*\n"), cut(r"\n\s*\n")).otherwise(F.array().cast("array<array<string>>"))
     # A unit of fewer words than these has too few bigrams for any template.
     enough = lambda units: F.filter(units, lambda w: F.size(w) - 1 >= max(1, ratio * low))
-    rows = rows.select(id_col, enough(cut("\n")).alias("_lines"), enough(F.concat(blocks, whole)).alias("_more"))
-    rows = rows.select(id_col, _bigrams(F.col("_lines")).alias("_lines"), _bigrams(F.col("_more")).alias("_more"))
+    runs = {name: [_runs(F.col("_padded"), *a) for a in anchors(templates[name])] for name in texts}
+    runs = {f"_run{i}": F.concat(*found) for i, found in enumerate(runs.values()) if found}
+    rows = rows.select(id_col, enough(cut("\n")).alias("_lines"), enough(F.concat(blocks, whole)).alias("_more"), *[c.alias(n) for n, c in runs.items()])
+    rows = rows.select(id_col, *[_bigrams(F.col(c)).alias(c) for c in rows.columns if c != id_col])
     fits = lambda n: (F.size(n) >= ratio * low) & (F.size(n) <= high / ratio)
 
-    def best(grams: Column) -> Column:
+    def best(grams: Column, among: Column = known) -> Column:
         size = F.size(grams)
-        near = F.filter(known, lambda t: (size >= ratio * t["n"]) & (t["n"] >= ratio * size))
+        near = F.filter(among, lambda t: (size >= ratio * t["n"]) & (t["n"] >= ratio * size))
         dice = lambda t: 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (size + t["n"])
-        return F.array_max(F.transform(near, lambda t: F.struct(dice(t).alias("dice"), t["order"].alias("order"), t["name"].alias("name"))))
-
-    hits = lambda units: F.filter(F.transform(F.filter(units, fits), best), lambda b: b.isNotNull() & (b["dice"] >= threshold))
-    rows = rows.select(id_col, hits(F.col("_lines")).alias("_lines"), hits(F.col("_more")).alias("_more"))
-    top = F.array_max(F.concat("_lines", "_more"))
-    return rows.select(id_col, top["name"].alias("license"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), F.size("_lines").cast("bigint").alias("n_notices"))
+        return F.array_max(F.transform(near, lambda t: F.struct(dice(t).alias("dice"), t["n"].alias("n"), t["order"].alias("order"), t["name"].alias("name"))))
+
+    reached = lambda found: F.filter(found, lambda b: b.isNotNull() & (b["dice"] >= threshold))
+    hits = lambda units: reached(F.transform(F.filter(units, fits), lambda grams: best(grams)))
+    of = lambda n: F.array_max(F.transform(n, lambda grams: best(grams, F.array(each[int(n.removeprefix("_run"))]))))
+    found = reached(F.array(*[of(n) for n in runs])) if runs else F.filter(hits(F.array_repeat(F.array(F.lit(0).cast("bigint")), 0)), lambda b: F.lit(False))
+    rows = rows.select(id_col, hits(F.col("_lines")).alias("_lines"), hits(F.col("_more")).alias("_more"), found.alias("_runs"))
+    top = F.array_max(F.concat("_lines", "_more", "_runs"))
+    counted = lambda c: F.size(c).cast("bigint")
+    return rows.select(
+        id_col, top["name"].alias("license"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), counted("_lines").alias("n_notices"),
+        family(top["name"]).alias("family"), counted(F.array_distinct(F.transform("_runs", lambda b: family(b["name"])))).alias("n_runs"),
+    )

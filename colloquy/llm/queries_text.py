@@ -81,6 +81,7 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_sente
 
 def _license_sql() -> str:
     values = ", ".join(f"('{name}', '{a} {b}')" for name, text in sorted(licenses.KNOWN.items()) for a, b in licenses.template_bigrams(text))
+    places = ", ".join(f"('{name}', {before}, '{phrase}', {after})" for name, text in sorted(licenses.KNOWN.items()) for before, phrase, after in licenses.anchors(text))
     clean = "lower(trim(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')))"
     return f"""
 WITH grams(name, gram) AS (VALUES {values}),
@@ -99,11 +100,22 @@ pairs AS (SELECT DISTINCT doc_id, unit, line, w[i] || ' ' || w[i + 1] AS gram FR
 counted AS (SELECT doc_id, unit, line, count(*) AS n FROM pairs GROUP BY ALL),
 shared AS (SELECT doc_id, unit, name, count(*) AS n_both FROM pairs JOIN grams USING (gram) GROUP BY ALL),
 scored AS (SELECT doc_id, unit, line, name, 2.0::DOUBLE * n_both / (counted.n + sizes.n) AS dice FROM shared JOIN counted USING (doc_id, unit) JOIN sizes USING (name)),
+anchors(name, before, phrase, after) AS (VALUES {places}),
+padded AS (SELECT doc_id, ' ' || {clean.format("text")} || ' ' AS x FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, anchors.*, string_split(x, ' ' || phrase || ' ') AS p FROM padded JOIN anchors ON contains(x, ' ' || phrase || ' ')),
+sides AS (SELECT *, list_filter(string_split(p[k], ' '), lambda y: y <> '') AS a, list_filter(string_split(p[k + 1], ' '), lambda y: y <> '') AS b FROM (SELECT *, unnest(generate_series(1, len(p) - 1)) AS k FROM cut)),
+runs AS (SELECT doc_id, name, before, k, list_concat(list_concat(a[greatest(len(a) - before + 1, 1):len(a)], string_split(phrase, ' ')), b[1:after]) AS w FROM sides),
+run_pairs AS (SELECT DISTINCT doc_id, name, before, k, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS i FROM runs)),
+run_counts AS (SELECT doc_id, name, before, k, count(*) AS n, count(grams.gram) AS n_both FROM run_pairs LEFT JOIN grams USING (name, gram) GROUP BY ALL),
+run_hits AS (SELECT doc_id, name, max(2.0::DOUBLE * n_both / (run_counts.n + sizes.n)) AS dice FROM run_counts JOIN sizes USING (name) GROUP BY doc_id, name HAVING max(2.0::DOUBLE * n_both / (run_counts.n + sizes.n)) >= {licenses.THRESHOLD}::DOUBLE),
 hits AS (SELECT * FROM scored WHERE dice >= {licenses.THRESHOLD}::DOUBLE),
-best AS (SELECT doc_id, name, dice FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) = 1),
-lines AS (SELECT doc_id, count(DISTINCT unit) AS n_notices FROM hits WHERE line = 1 GROUP BY doc_id)
-SELECT d.doc_id, best.name AS license, coalesce(best.dice, 0.0::DOUBLE) AS dice, coalesce(n_notices, 0)::BIGINT AS n_notices
-FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN lines USING (doc_id)"""
+both_hits AS (SELECT doc_id, name, dice FROM hits UNION ALL SELECT doc_id, name, dice FROM run_hits),
+best AS (SELECT doc_id, name, dice FROM both_hits JOIN sizes USING (name) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, n DESC, name) = 1),
+lines AS (SELECT doc_id, count(DISTINCT unit) AS n_notices FROM hits WHERE line = 1 GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT regexp_replace(name, ' (notice|text)$', '')) AS n_runs FROM run_hits GROUP BY doc_id)
+SELECT d.doc_id, best.name AS license, coalesce(best.dice, 0.0::DOUBLE) AS dice, coalesce(n_notices, 0)::BIGINT AS n_notices,
+  regexp_replace(best.name, ' (notice|text)$', '') AS family, coalesce(n_runs, 0)::BIGINT AS n_runs
+FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
 def _quality_sql() -> str:

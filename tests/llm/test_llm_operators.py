@@ -409,6 +409,39 @@ def test_whole_license_documents(spark):
     assert [got[i].license for i in range(len(names))] == names and all(got[i].dice >= 0.9 for i in range(len(names)))
 
 
+def wrapped(text, mark, width, end=""):
+    """A text as comment lines of so many words."""
+    words = text.split(" ")
+    return "\n".join(f"{mark} {' '.join(words[i : i + width])}{end}" for i in range(0, len(words), width))
+
+
+@pytest.mark.parametrize(("mark", "end"), [("#", ""), (" *", " "), ("//", "\r"), ("<!--", " -->"), (";;;", "\n"), ("", "\n\n")])
+def test_licenses_as_comments_in_code(spark, mark, end):
+    """Wrapped over lines between code, one word in 30 changed, and two licenses in one text."""
+    code = "def f(x):\n    return x + 1\n\nclass A:\n    pass\n" * 20
+    long = [n for n in sorted(licenses.KNOWN) if licenses.anchors(licenses.KNOWN[n])]
+    assert set(long) >= {"Apache-2.0", "BSD-2-Clause", "GPL-3.0", "ISC", "MIT", "MPL-2.0", "Unlicense"}
+    texts = [f"{code}{wrapped(licenses.KNOWN[n], mark, 7 + i, end)}\n{code}" for i, n in enumerate(long)]
+    changed = [" ".join("changed" if j % 30 == 11 else w for j, w in enumerate(licenses.KNOWN[n].split(" "))) for n in long]
+    texts += [f"{code}{wrapped(t, mark, 9, end)}\n{code}" for t in changed]
+    texts += [f"{code}{wrapped(licenses.KNOWN['MIT'], mark, 9, end)}\n{code}{wrapped(licenses.KNOWN['GPL-3.0'], mark, 9, end)}\n{code}", code]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    k = len(long)
+    assert [(got[i].license, got[i].dice) for i in range(k)] == [(n, 1.0) for n in long]
+    family = lambda n: n.removesuffix(" text")
+    assert [got[k + i].family for i in range(k)] == [family(n) for n in long] and all(got[k + i].dice >= 0.8 for i in range(k))
+    assert (got[2 * k].license, got[2 * k].n_runs, got[2 * k + 1].license, got[2 * k + 1].n_runs) == ("MIT", 2, None, 0)
+
+
+def test_anchors_alone_are_no_license(spark):
+    """Openings, middles and ends among other words, at the ends of a text, side by side and many times."""
+    rng = random.Random(5)
+    phrases = [phrase for t in licenses.KNOWN.values() for _, phrase, _ in licenses.anchors(t)]
+    texts = phrases + [f"{p} {prose(rng, 60)} {p}" for p in phrases] + [" ".join([p] * 200) for p in phrases] + [f"{prose(rng, 200)}\n{p}\n{prose(rng, 200)}" for p in phrases]
+    got = licenses.scan(docs_of(spark, texts)).collect()
+    assert [r.doc_id for r in got if r.license is not None or r.n_runs] == []
+
+
 def test_compact_windows():
     rng = random.Random(5)
     for _ in range(150):
@@ -685,7 +718,7 @@ def test_forms_are_not_all_compared(spark, monkeypatch):
 
 def test_license_sql_has_every_template(spark):
     rng = random.Random(8)
-    texts = [x for t in licenses.KNOWN.values() for x in (t, prose(rng, 30) + "\n\n" + t + "\n\n" + prose(rng, 9), t.replace(". ", ".\n"))] + ["", prose(rng, 50)]
+    texts = [x for t in licenses.KNOWN.values() for x in (t, prose(rng, 30) + "\n\n" + t + "\n\n" + prose(rng, 9), t.replace(". ", ".\n"), prose(rng, 20) + "\n" + wrapped(t, "#", 8) + "\n" + prose(rng, 20), t + " " + t, t[: len(t) // 2])] + ["", prose(rng, 50)]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
