@@ -196,7 +196,8 @@ def learned_lexicon(rows: DataFrame, settings: Settings) -> Lexicon:
         for batch in batches:
             for toxic, text in zip(batch["toxic"], batch["text"]):
                 found = terms(text, settings)
-                yield pd.DataFrame({"kind": [k for k, _ in found], "term": [t for _, t in found], "toxic": toxic}, columns=["kind", "term", "toxic"])
+                if found:
+                    yield pd.DataFrame({"kind": [k for k, _ in found], "term": pd.Series([t for _, t in found], dtype=object), "toxic": toxic})
 
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     clean = n - toxic
