@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..schema import FRAME_SHIFT, FRAME_WINDOW, SAMPLE_RATE
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Halves away from zero; what rounds to zero keeps its sign (-0.0), which Spark's round drops."""
+    x = value.cast("double")
+    near = F.round(x, digits)
+    return F.when(near == 0, x * F.lit(0.0)).otherwise(near)
+
+
 def samples_by_float(seconds: Column, rate: int = SAMPLE_RATE) -> Column:
     """Truncates the floating-point product."""
     return (seconds.cast("double") * F.lit(float(rate))).cast("bigint")

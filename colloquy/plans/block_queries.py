@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commands, ids, text, vectors
+from ..functions.units import rounded
 from ..operators import blocks, estimates, guarded, joins, reshape, stats
 from ..operators import intervals as iv
 from ..operators.carried import numbered
@@ -132,7 +133,7 @@ def cached_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = stages.scratch(spark)
     for _ in range(2):
         found = stages.cached([rows], root, lambda: stats.mean_std(rows, "embedding", ["label"]), what="mean_std")
-    return found.select("label", F.col("dim").cast("bigint").alias("dim"), F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "n")
+    return found.select("label", F.col("dim").cast("bigint").alias("dim"), rounded(F.col("mean"), 9).alias("mean"), F.round("std", 9).alias("std"), "n")
 
 
 def speaker_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.units import rounded
 from ..operators import lookups, stats
 from .common import table, union_sql
 
@@ -86,13 +87,13 @@ def ragged_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mean_over_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as masks of eight frames of eight bins: the mean of each frame, by label."""
     rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
-    return rows.groupBy("label", F.floor(F.col("dim") / 8).alias("frame")).agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("activity"))
+    return rows.groupBy("label", F.floor(F.col("dim") / 8).alias("frame")).agg(rounded(F.avg(F.col("x").cast("double")), 9).alias("activity"))
 
 
 def mean_without_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean length of turns by conversation and role, the turn left out of the path."""
     rows = table(spark, sf_dir, "conversations").select(F.array(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role").alias("path"), F.length("text").alias("v"))
-    return stats.mean_without(rows, "path", 2, "v").select(F.array_join("path", "/").alias("path"), F.round("mean", 9).alias("mean"), "n")
+    return stats.mean_without(rows, "path", 2, "v").select(F.array_join("path", "/").alias("path"), rounded(F.col("mean"), 9).alias("mean"), "n")
 
 
 def min_loss_choice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import access, ids, text, vectors
+from ..functions.units import rounded
 from ..operators import joins, reshape, score, stats
 from ..sources.documents import union
 from . import stages
@@ -14,12 +15,12 @@ from .common import table
 
 def feature_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats.mean_std(table(spark, sf_dir, "embeddings"), "embedding")
-    return rows.select("dim", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "n")
+    return rows.select("dim", rounded(F.col("mean"), 9).alias("mean"), F.round("std", 9).alias("std"), "n")
 
 
 def channelwise_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats.mean_std(table(spark, sf_dir, "embeddings"), "embedding", ["label"])
-    return rows.select("label", "dim", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "n")
+    return rows.select("label", "dim", rounded(F.col("mean"), 9).alias("mean"), F.round("std", 9).alias("std"), "n")
 
 
 def merged_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def _adapt(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     source, target = (stats.as_arrays(stats.mean_std(rows.where(w), "embedding")) for w in ("label < 5", "label >= 5"))
     moved = stats.adapted(rows.where("label < 5"), "embedding", source, target, method)
-    return moved.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return moved.select("vec_id", F.transform("embedding", lambda x: rounded(x, 6)).alias("embedding"))
 
 
 def domain_adapt_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:

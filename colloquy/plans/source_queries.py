@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from ..functions.units import rounded
 from ..operators import intervals as iv
 from ..operators import joins, reshape, stats
 from ..sources import documents, sinks, texts
@@ -166,7 +167,7 @@ def auxiliary_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.concat("embedding", F.slice("embedding", -1, 1)).alias("v"))
     packed = reshape.examples(rows.withColumn("m", F.floor(F.col("vec_id") / 10)), ["label", "m"], "vec_id", ["v"])
     found = stats.auxiliary_mean_std(packed, "v", ["label"])
-    return found.select("label", F.col("dim").cast("bigint").alias("dim"), F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "n")
+    return found.select("label", F.col("dim").cast("bigint").alias("dim"), rounded(F.col("mean"), 9).alias("mean"), F.round("std", 9).alias("std"), "n")
 
 
 def channel_slices(spark: SparkSession, sf_dir: str) -> DataFrame:

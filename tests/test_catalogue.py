@@ -46,3 +46,14 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
     assert set(ORACLE_SQL) <= set(driver.oracle_sql()) and set(QUERIES) <= set(driver.queries())
+
+
+@pytest.mark.parametrize("name", ["domain_adapt_mean", "domain_adapt_mean_scale", "domain_adapt_mean_std"])
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path, name):
+    values = [(2 * label + i, [x] * 64, label) for label in (0, 5) for i, x in enumerate((-2e-7, 1.0, -1.0))]
+    spark.createDataFrame([(5 * v, x, label) for v, x, label in values], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = {r.vec_id: [str(x) for x in r.embedding] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {key: [str(x) for x in row] for key, row in con.sql(ORACLE_SQL[name]).fetchall()}
+    assert got[0] == ["-0.0"] * 64
