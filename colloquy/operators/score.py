@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +29,26 @@ def leave_one_out(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def edit_distance(a: list[str], b: list[str]) -> int:
-    """Substitutions, insertions and deletions between two word lists."""
-    names = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = (np.array([names[w] for w in z], dtype=np.int64) for z in (a, b))
-    row, steps = np.arange(len(y) + 1), np.arange(len(y) + 1)
-    for i, w in enumerate(x, 1):
-        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
+    """Substitutions, insertions and deletions between two word lists.
+
+    The row of distances for each word of the shorter list is kept as its steps from place to place of
+    the longer one, bits of two whole numbers: where it rises by one, and where it falls.
+    """
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    places: dict[str, int] = {}
+    for i, w in enumerate(many):
+        places[w] = places.get(w, 0) | 1 << i
+    every = (1 << len(many)) - 1
+    last = 1 << len(many) >> 1
+    rises, falls, distance = every, 0, len(many)
+    for w in few:
+        same = places.get(w, 0)
+        level = ((((same & rises) + rises) ^ rises) | same) & every
+        up, down = falls | (every & ~(level | rises)), rises & level
+        distance += bool(up & last) - bool(down & last)
+        up, down, kept = (up << 1 | 1) & every, (down << 1) & every, same | falls
+        rises, falls = down | (every & ~(kept | up)), up & kept
+    return distance if many else 0
 
 
 def word_errors(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
