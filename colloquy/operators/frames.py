@@ -63,6 +63,13 @@ def tiles(regions: DataFrame, length: int, hop: int, start: Column, stop: Column
     return rows.withColumns({"s_cut": F.col("s_ins") - F.col("s"), "e_cut": F.col("e_ins") - F.col("s")}).drop("_start", "_stop", "_n", "_k")
 
 
+def tile_of(place: Column, length: int, hop: int, size: Column) -> Column:
+    """``s`` of the chunk of tiles() over 0 to ``size`` that keeps a place in it."""
+    n = F.greatest(F.lit(0), F.ceil((size - length) / hop)).cast("bigint")
+    k = F.greatest(F.lit(0), F.floor((place - (length - (hop + 1) // 2)) / hop) + 1).cast("bigint")
+    return F.when(k >= n, F.greatest(size - length, F.lit(0))).otherwise(k * hop).cast("bigint")
+
+
 def differences(frames: DataFrame, keys: list[str], value: str, first: Column, frame: str = "frame") -> DataFrame:
     """``diff``: each value less the one before, the first less ``first``."""
     by = Window.partitionBy(*keys).orderBy(frame)

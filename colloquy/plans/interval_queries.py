@@ -93,12 +93,12 @@ def chunk_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a session by the tile that keeps their place, an equi-join on the hop."""
+    """Events of a session by the tile that keeps their place, which follows from place and length."""
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").cast("string").alias("session"), "ts")
     placed = numbered(rows, ["session"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "frame")
-    sizes = placed.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    kept = fr.tiles(sizes, 100, 30, F.lit(0).cast("bigint"), F.col("n")).select("session", "s", F.explode(F.sequence(F.col("s_ins"), F.col("e_ins") - 1)).alias("frame"))
-    return placed.join(kept, ["session", "frame"]).groupBy("session", "s").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
+    sizes = rows.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    tile = fr.tile_of(F.col("frame"), 100, 30, F.col("n"))
+    return placed.join(sizes, "session").groupBy("session", tile.alias("s")).agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
 
 
 def consecutive_differences(spark: SparkSession, sf_dir: str) -> DataFrame:

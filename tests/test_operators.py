@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.catalogue import QUERIES
 from colloquy.functions import access, ids, text, units, vectors
 from colloquy.operators import frames, intervals, joins, reshape, score, splitting, stats
 from colloquy.plans import report, stages
@@ -111,6 +112,19 @@ def test_hysteresis(spark, speech, silence, expected):
     assert sorted((r.s, r.e) for r in intervals.hysteresis(rows, ["k"], speech, silence).collect()) == expected
 
 
+def test_tile_of_place_without_rows_for_places(spark):
+    sizes = spark.createDataFrame([(n, hop) for n in (1, 9, 10, 11, 14, 24, 25, 61) for hop in (1, 2, 3, 10)], "n bigint, hop int")
+    zero = F.lit(0).cast("bigint")
+    for hop in (1, 2, 3, 10):
+        some = sizes.where(F.col("hop") == hop)
+        kept = frames.tiles(some, 10, hop, zero, F.col("n")).select("n", F.explode(F.sequence("s_ins", F.col("e_ins") - 1)).alias("place"), "s").where("s_ins < e_ins")
+        placed = some.select("n", F.explode(F.sequence(zero, F.col("n") - 1)).alias("place"))
+        got = placed.select("n", "place", frames.tile_of(F.col("place"), 10, hop, F.col("n")).alias("s"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, kept.collect()))
+    plan = QUERIES["tile_assign"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
 @pytest.mark.parametrize(
     "stop, hop, expected",
     [
