@@ -13,7 +13,8 @@ themselves, and passages are as wide as they are alike.
 Windows are compared with first ones only, however many share a minimum. A window is left open if
 its interval isn't inside the passages found (an interval join), and others share half a passage
 on one side of its minimum. Open windows are joined once more by all their sequences of t
-shingles, so exact repeats are found with certainty, whatever else is in the table.
+shingles, so exact repeats are found with certainty, whatever else is in the table, and by all their
+runs of RUN shingles: so near repeats meet where the first text with their minimum is like neither.
 
 Equal texts are one: a text that occurs before is a passage as a whole.
 
@@ -45,10 +46,12 @@ from .word_hashes import chunks, mix, words
 FUNCTIONS = 4
 #: Shingles beside a minimum that must agree on one side for windows to meet.
 SIDE = 8
+#: Shingles in a row by which open windows are joined too, besides whole sequences.
+RUN = 20
 #: Block minima are kept up to 2 ** LEVELS shingles; longer reaches take several steps.
 LEVELS = 10
 #: Columns of windows().
-WINDOW = ["key", "id", "c", "before", "after", "left", "right", "half_left", "half_right"]
+WINDOW = ["key", "id", "c", "before", "after", "left", "right"]
 
 
 def block_minima(h: np.ndarray, most: int = LEVELS) -> list[np.ndarray]:
@@ -116,11 +119,9 @@ def block_hashes(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def windows(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
-    """Of ``id, text``: ``key, id, c, before, after, left, right, half_left, half_right`` of every
-    compact window: hash and place of its minimum, how far sequences of ``min_tokens`` shingles with
-    that minimum reach on both sides of it, and hashes of SIDE shingles, and of half a passage, on
-    both sides (0 where the text ends before)."""
-    half = (min_tokens - 1) // 2
+    """Of ``id, text``: ``key, id, c, before, after, left, right`` of every compact window: hash and
+    place of its minimum, how far sequences of ``min_tokens`` shingles with that minimum reach on both
+    sides of it, and hashes of SIDE shingles on both sides (0 where the text ends before)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +131,7 @@ def windows(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
                 n = np.diff(first)
                 own = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(h)) + own + 1  # a zero before each text, and one at the end
-                blocks = [(side, block_hashes(h, side + 1) if len(h) > side else h[:0]) for side in (SIDE, half)]
+                hashes = block_hashes(h, SIDE + 1) if len(h) > SIDE else h[:0]
                 for f in range(FUNCTIONS):
                     padded = np.zeros(len(h) + len(n) + 1, dtype=np.uint64)
                     padded[place] = np.maximum(mix(h ^ np.uint64(0x5851F42D4C957F2D * (f + 1) % (1 << 64))), np.uint64(1))
@@ -139,15 +140,14 @@ def windows(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
                     key, within, whole = padded[c], c - first[text] - text - 1, c - text - 1
                     reach = [np.minimum(x, min_tokens - 1).astype(np.int8) for x in (c - left, right - c)]
                     beside = []
-                    for side, hashes in blocks:
-                        for start, there in ((whole - side, within >= side), (whole, within + side < n[text])):
-                            found = np.zeros(len(c), np.int32)
-                            found[there] = hashes[start[there]].astype(np.uint32).view(np.int32) | 1
-                            beside.append(found)
+                    for start, there in ((whole - SIDE, within >= SIDE), (whole, within + SIDE < n[text])):
+                        found = np.zeros(len(c), np.int32)
+                        found[there] = hashes[start[there]].astype(np.uint32).view(np.int32) | 1
+                        beside.append(found)
                     arrays = [key.astype(np.int64), ids[at + text].astype(np.int64), within.astype(np.int32), *reach, *beside]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=WINDOW)
 
-    schema = "key bigint, id bigint, c int, before tinyint, after tinyint, left int, right int, half_left int, half_right int"
+    schema = "key bigint, id bigint, c int, before tinyint, after tinyint, left int, right int"
     return texts.select("id", "text").mapInArrow(find, schema)
 
 
@@ -380,14 +380,14 @@ def unexplained(rows: DataFrame, found: DataFrame) -> DataFrame:
 def open_places(met: DataFrame, found: DataFrame) -> DataFrame:
     """``id, places``: the windows that may repeat a sequence nobody compared, and their partners.
 
-    Of a sequence with the minimum at c, one half or more lies on one side of c. Where only two
-    windows have a minimum, they have been compared.
+    Of a sequence with the minimum at c, one half or more lies on one side of c, and of a run with c
+    SIDE shingles or more. Where only two windows have a minimum, they have been compared.
     """
-    rows = met.where("many > 2").select("key", "id", "c", "before", "after", "half_left", "half_right")
+    rows = met.where("many > 2").select("key", "id", "c", "before", "after", "left", "right")
     left = written(unexplained(rows, found))
     partners = rows.join(left.select("key").distinct(), "key", "left_semi")
-    halves = written(beside(partners, "half_left", "half_right"))
-    keys = beside(left, "half_left", "half_right").select("key").distinct()
+    halves = written(beside(partners, "left", "right"))
+    keys = beside(left, "left", "right").select("key").distinct()
     twice = halves.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").join(keys, "key", "left_semi").select("key")
     both = halves.join(twice, "key", "left_semi").groupBy("id", "c").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     place = (F.col("c").cast("bigint") * 64 + F.col("before")) * 64 + F.col("after")
@@ -398,8 +398,8 @@ def open_places(met: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def whole_sequences(places: DataFrame, texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
-    """``key, id, c`` of all sequences of ``min_tokens`` shingles that have one of the places
-    in their middle: their hash and where they begin."""
+    """``key, id, c, after`` of all sequences of ``min_tokens`` shingles that have one of the places
+    in their middle, and of the runs of RUN in them: hash, where they begin, and shingles after that."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,18 +408,20 @@ def whole_sequences(places: DataFrame, texts: DataFrame, width: int, min_tokens:
                 for row, (low, high) in enumerate(pairwise(first.tolist()), at):
                     packed = batch.column(1)[row].values.to_numpy()
                     c, before, after = packed >> 12, packed >> 6 & 63, packed & 63
-                    starts = np.zeros(high - low + min_tokens, np.int64)
-                    n = np.maximum(before + after - min_tokens + 2, 0)
-                    np.add.at(starts, (c - before)[n > 0], 1)
-                    np.add.at(starts, (c - before + n)[n > 0], -1)
-                    start = np.flatnonzero(np.cumsum(starts)[: max(0, high - low - min_tokens + 1)] > 0)
-                    if not len(start):
-                        continue
-                    key = block_hashes(h[low:high], min_tokens)[start]
-                    ids = np.full(len(key), batch.column(0)[row].as_py(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.astype(np.int64), ids, start.astype(np.int32))], names=["key", "id", "c"])
-
-    return places.join(texts, "id").select("id", "places", "text").mapInArrow(part, "key bigint, id bigint, c int")
+                    for length in {min_tokens, min(RUN, min_tokens)}:
+                        starts = np.zeros(high - low + min_tokens, np.int64)
+                        n = np.where(before + after + 1 >= min_tokens, before + after - length + 2, 0)
+                        np.add.at(starts, (c - before)[n > 0], 1)
+                        np.add.at(starts, (c - before + n)[n > 0], -1)
+                        start = np.flatnonzero(np.cumsum(starts)[: max(0, high - low - length + 1)] > 0)
+                        if not len(start):
+                            continue
+                        key = block_hashes(h[low:high], length)[start]
+                        ids = np.full(len(key), batch.column(0)[row].as_py(), np.int64)
+                        arrays = [key.astype(np.int64), ids, start.astype(np.int32), np.full(len(key), length - 1, np.int8)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "id", "c", "after"])
+
+    return places.join(texts, "id").select("id", "places", "text").mapInArrow(part, "key bigint, id bigint, c int, after tinyint")
 
 
 def different_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -475,7 +477,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     discard(places)
     met = with_first(rows)
     discard(rows)
-    left = unexplained(met.withColumns({"before": F.lit(0), "after": F.lit(min_tokens - 1)}), found)
+    left = unexplained(met.withColumn("before", F.lit(0)), found)
     more = check(anchored(left))
     discard(met)
     end = lambda name: (F.col(name) + width).alias(name)

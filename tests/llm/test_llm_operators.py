@@ -726,3 +726,17 @@ def test_license_sql_has_every_template(spark):
     got = licenses.scan(docs_of(spark, texts)).select(*expected.columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected.fetchall()))
     assert {r.license for r in got} >= set(licenses.KNOWN)
+
+
+def test_near_repeats_behind_a_phrase_of_many_texts(spark):
+    """Pairs that share 56 shingles but one word, 36 of them in all texts, the first like no other."""
+    number = iter(range(100_000))
+    fresh = lambda n: [f"x{next(number)}" for _ in range(n)]
+    phrase, rows = [f"c{i}" for i in range(40)], []
+    rows.append((0, " ".join(fresh(60) + phrase + fresh(60))))
+    for i in range(1, 60, 2):
+        own = fresh(20)
+        for k, last in enumerate((own, own[:9] + fresh(1) + own[10:])):
+            rows.append((i + k, " ".join(fresh(40) + phrase + last + fresh(40))))
+    found = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r.id, r.source_id) for r in found.collect()} == {(i + 1, i) for i in range(1, 60, 2)}
