@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,9 @@ SMALL = 16
 TURNS = 6
 #: Words of 64 bits that count shingles modulo 2.
 PARITY = 4
+#: Tables of signatures are dealt in so many parts, one after the other, by set and by signature: the
+#: shuffle files of one part lie on disk at a time, beside what is read and written.
+SET_PARTS, KEY_PARTS = 4, 2
 _SUMMARY = -1
 
 
@@ -189,15 +192,24 @@ def shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def candidate_rows(entries: DataFrame) -> DataFrame:
     """``key, node`` and how often the key occurs: the rarest signatures of entries that may link."""
     entry = Window.partitionBy("node", "entry")
     hits = entries.select("node", "entry", "need", F.explode("sigs").alias("key"))
     for turn in range(2):  # without the entries that go, fewer signatures are shared
-        often = written(shared(hits, "key"))
-        left = hits.drop("many", "found").join(often, "key").withColumn("found", F.count(F.lit(1)).over(entry)).where("found >= need")
-        left = written(left)
-        discard(often)
+        parts = []
+        for part in range(1 if turn else KEY_PARTS):
+            some = hits if turn else hits.where(F.pmod("key", F.lit(KEY_PARTS)) == part)
+            often = written(shared(some, "key"))
+            parts.append(written(some.drop("many", "found").join(often, "key")))
+            discard(often)
+        left = written(together(parts).withColumn("found", F.count(F.lit(1)).over(entry)).where("found >= need"))
+        for part in parts:
+            discard(part)
         if turn:
             discard(hits)
         hits = left
@@ -319,10 +331,14 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     summaries = written(rows.where(F.col("entry") == _SUMMARY).select("id", "text_hash", "n", "h1", "h2"))
     sets = written(named_sets(summaries))
     named = sets.withColumnRenamed("rep", "id")
-    entries = written(rows.where(F.col("entry") != _SUMMARY).join(named, ["id", "n", "h1", "h2"]).select("node", "entry", "need", "sigs"))
+    parts = []
+    for part in range(SET_PARTS):
+        some = [x.where(F.pmod("h1", F.lit(SET_PARTS)) == part) for x in (rows.where(F.col("entry") != _SUMMARY), named)]
+        parts.append(written(some[0].join(some[1], ["id", "n", "h1", "h2"]).select("node", "entry", "need", "sigs")))
     discard(rows)
-    found = candidate_rows(entries)
-    discard(entries)
+    found = candidate_rows(together(parts))
+    for part in parts:
+        discard(part)
     labels = linked_components(found, every, sets, width, num, den)
     least = summaries.where("n > 0").groupBy("n", "h1", "h2", "id").agg(F.min("text_hash").alias("_hash"))
     least = least.join(sets.select("n", "h1", "h2", F.col("rep").alias("id"), "rep", "node"), ["n", "h1", "h2", "id"]).drop("id")

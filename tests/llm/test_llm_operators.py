@@ -740,3 +740,29 @@ def test_near_repeats_behind_a_phrase_of_many_texts(spark):
             rows.append((i + k, " ".join(fresh(40) + phrase + last + fresh(40))))
     found = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert {(r.id, r.source_id) for r in found.collect()} == {(i + 1, i) for i in range(1, 60, 2)}
+
+
+def test_signatures_are_shuffled_in_parts(spark, monkeypatch):
+    """No table of signatures is written, and so none is shuffled for it, as a whole; the links are the same."""
+    rng = random.Random(5)
+    texts = [prose(rng, 80) for _ in range(60)]
+    texts += [t + " end" for t in texts[:30]]
+    sizes, write = [], jaccard_join.written
+
+    def seen(df):
+        done = write(df)
+        if df.columns == ["node", "entry", "need", "sigs"]:
+            sizes.append(("sets", done.count()))
+        elif "key" in df.columns and "need" in df.columns and "found" not in df.columns:
+            sizes.append(("keys", done.count()))
+        return done
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    found = sorted(map(tuple, jaccard_join.similar(docs_of(spark, texts)).collect()))
+    each = {kind: [n for k, n in sizes if k == kind] for kind in ("sets", "keys")}
+    assert len(each["sets"]) == jaccard_join.SET_PARTS and max(each["sets"]) < 0.5 * sum(each["sets"])
+    assert max(each["keys"][: jaccard_join.KEY_PARTS]) < 0.7 * sum(each["keys"][: jaccard_join.KEY_PARTS])
+    monkeypatch.setattr(jaccard_join, "SET_PARTS", 1)
+    monkeypatch.setattr(jaccard_join, "KEY_PARTS", 1)
+    assert sorted(map(tuple, jaccard_join.similar(docs_of(spark, texts)).collect())) == found
+    assert sum(r[2] != r[0] for r in found) >= 25
