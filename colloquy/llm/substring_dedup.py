@@ -31,6 +31,7 @@ import math
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -48,6 +49,8 @@ FUNCTIONS = 4
 SIDE = 8
 #: Shingles in a row by which open windows are joined too, besides whole sequences.
 RUN = 20
+#: From so many anchors at one distance on, places that match around them are counted by running sums.
+DENSE = 8
 #: Block minima are kept up to 2 ** LEVELS shingles; longer reaches take several steps.
 LEVELS = 10
 #: Columns of windows().
@@ -105,17 +108,32 @@ def compact_windows(h: np.ndarray, width: int, far: int | None = None) -> tuple[
     return left[wide], c[wide], r[wide]
 
 
+def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * np.uint64(0x9E3779B97F4A7C15) + y)
+
+
+def doubled(h: np.ndarray, length: int) -> list[np.ndarray]:
+    """Hashes of all blocks of 1, 2, 4, ... elements, up to ``length`` of them, by where they begin."""
+    blocks, size = [h], 1
+    while 2 * size <= min(length, len(h)):
+        blocks.append(_join(blocks[-1][:-size], blocks[-1][size:]))
+        size *= 2
+    return blocks
+
+
+def hashes_at(blocks: list[np.ndarray], start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the blocks of ``length`` elements that begin at ``start``, from those of doubled()."""
+    total, at = None, start
+    for j, block in enumerate(blocks):
+        if length >> j & 1:
+            total = block[at] if total is None else _join(total, block[at])
+            at = at + (1 << j)
+    return total
+
+
 def block_hashes(h: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all blocks of ``length`` elements, by where they begin, from blocks of 1, 2, 4, ..."""
-    join = lambda x, y: mix(x * np.uint64(0x9E3779B97F4A7C15) + y)
-    total, size, done, block = None, 1, 0, h
-    while True:
-        if length & size:
-            total = block if total is None else join(total[: len(block) - done], block[done:])
-            done += size
-        if done == length:
-            return total
-        block, size = join(block[:-size], block[size:]), 2 * size
+    """Hashes of all blocks of ``length`` elements, by where they begin."""
+    return hashes_at(doubled(h, length), np.arange(max(0, len(h) - length + 1)), length)
 
 
 def windows(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
@@ -158,9 +176,7 @@ def farthest(same: np.ndarray, price: int, at_least: int) -> tuple[np.ndarray, n
     later = np.maximum.accumulate(total[:0:-1])[::-1]  # the most that is reached from each end on
     ends = np.searchsorted(-later, -total[:-1], "right") - 1
     starts = np.flatnonzero(ends - np.arange(len(same)) + 1 >= at_least)
-    edges = np.zeros(len(same) + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, ends[starts] + 1, -1)
+    edges = np.bincount(starts, minlength=len(same) + 1) - np.bincount(ends[starts] + 1, minlength=len(same) + 1)
     return ends, np.cumsum(edges[:-1]) > 0
 
 
@@ -184,16 +200,29 @@ def exact_runs(same: np.ndarray, at_least: int) -> np.ndarray:
     return starts[ends - starts >= at_least]
 
 
-def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], min_tokens: int, similarity: float, same_text: bool, covered: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+@lru_cache(16)
+def costs(similarity: float) -> tuple[Fraction, int, int]:
+    """The similarity, and what a place without a match costs: aligned, it counts in both sets."""
+    share = Fraction(str(similarity))
+    return share, math.ceil(2 * share / (1 - share)), math.ceil(share / (1 - share))
+
+
+def similar_sets(x: np.ndarray, y: np.ndarray, share: Fraction) -> bool:
+    """Whether the sets of the elements, some on both sides, have that Jaccard similarity or more."""
+    distinct = lambda z: 1 + int(np.count_nonzero(z[1:] != z[:-1]))
+    x, y = np.sort(x), np.sort(y)
+    either = distinct(np.sort(np.concatenate([x, y])))
+    return (distinct(x) + distinct(y) - either) * share.denominator >= share.numerator * either
+
+
+def passages(a: np.ndarray, b: np.ndarray, anchors: np.ndarray | list[tuple[int, int]], min_tokens: int, similarity: float, same_text: bool, covered: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """Verified near-duplicate stretches: first and last place in a, first and last in b.
 
     anchors: distances of places, and places in a where windows met at them. A passage is the
     widest stretch around an anchor whose sets of shingles have the Jaccard similarity. covered:
     places of a that are in passages already; passages must bring others, and are added.
     """
-    share = Fraction(str(similarity))
-    shift_cost = math.ceil(2 * share / (1 - share))  # aligned: a place without a match counts in both sets
-    gap_cost = math.ceil(share / (1 - share))
+    share, shift_cost, gap_cost = costs(similarity)
     found: list[tuple[int, int, int, int]] = []
     covered = np.zeros(len(a), bool) if covered is None else covered
 
@@ -221,9 +250,7 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], min_t
                 if not fresh[s : e + 1].any():
                     break
                 s2, e2 = there(base + s, base + e)
-                x, y = np.unique(a[base + s : base + e + 1]), np.unique(b[s2 : e2 + 1])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= share * (len(x) + len(y) - both):
+                if similar_sets(a[base + s : base + e + 1], b[s2 : e2 + 1], share):
                     found.append((base + s, base + e, s2, e2))
                     done.append((s, e))
                     covered[base + s : base + e + 1] = True
@@ -231,28 +258,46 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], min_t
                     break
                 failed.add((s, e))
 
-    shift, place = np.array(anchors, np.int64).reshape(-1, 2).T
+    shift, place = np.asarray(anchors, np.int64).reshape(-1, 2).T
     order = np.lexsort((place, shift))
     shift, place = shift[order], place[order]
-    # Aligned places around each anchor, and which of them match.
-    around = place[:, None] + np.arange(1 - min_tokens, min_tokens)
-    there = around - shift[:, None]
-    inside = (around >= 0) & (around < len(a)) & (there >= 0) & (there < len(b))
-    around = np.clip(around, 0, len(a) - 1)
-    match = inside & (a[around] == b[np.clip(there, 0, len(b) - 1)])
-    strong = match.sum(1) >= math.ceil(2 * min_tokens * share / (1 + share))
-    edges = np.flatnonzero(np.diff(shift, prepend=shift[0] - 1, append=shift[-1] + 1))
-    by_shift = sorted(pairwise(edges.tolist()), key=lambda x: (-int(strong[x[0] : x[1]].sum()), x[0]))
+    edges = np.flatnonzero(np.concatenate([[True], shift[1:] != shift[:-1], [True]]))
+    # How many of the aligned places around each anchor match.
+    matches = np.empty(len(place), np.int64)
+    few = np.repeat(np.diff(edges) < DENSE, np.diff(edges))
+    if few.any():
+        around = place[few, None] + np.arange(1 - min_tokens, min_tokens)
+        there = around - shift[few, None]
+        inside = (around >= 0) & (around < len(a)) & (there >= 0) & (there < len(b))
+        matches[few] = (inside & (a.take(around, mode="clip") == b.take(there, mode="clip"))).sum(1)
+
+    def aligned(at: int) -> tuple[int, np.ndarray]:
+        low, high = max(0, at), min(len(a), len(b) + at)
+        return low, a[low:high] == b[low - at : high - at]
+
+    def around_each(same: np.ndarray, places: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(same)])
+        return total[np.minimum(places + min_tokens, len(same))] - total[np.maximum(places - min_tokens + 1, 0)]
+
+    edges = edges.tolist()
+    for first, last in pairwise(edges):
+        if last - first >= DENSE:
+            low, same = aligned(int(shift[first]))
+            matches[first:last] = around_each(same, place[first:last] - low)
+    strong = matches >= math.ceil(2 * min_tokens * share / (1 + share))
+    most = np.add.reduceat(strong, edges[:-1], dtype=np.int64).tolist()
+    by_shift = [edges[k : k + 2] for k in sorted(range(len(most)), key=lambda k: (-most[k], edges[k]))]
     for first, last in by_shift:
-        rows = slice(first, last)
-        if not strong[rows].any():
+        places = place[first:last][strong[first:last]]
+        if not len(places):
             break
-        if not (match[rows] & ~covered[around[rows]])[strong[rows]].any():
+        if covered[max(0, int(places[0]) - min_tokens + 1) : int(places[-1]) + min_tokens].all():
             continue
         at = int(shift[first])
-        low, high = max(0, at), min(len(a), len(b) + at)
-        aligned = a[low:high] == b[low - at : high - at]
-        alike(aligned, low, [*(exact_runs(aligned, min_tokens) + low).tolist(), *place[rows][strong[rows]].tolist()], shift_cost, lambda s, e, at=at: (s - at, e - at))
+        low, same = aligned(at)
+        if not around_each(same & ~covered[low : low + len(same)], places - low).any():
+            continue
+        alike(same, low, [*(exact_runs(same, min_tokens) + low).tolist(), *places.tolist()], shift_cost, lambda s, e, at=at: (s - at, e - at))
     if same_text:
         return found
     if covered[place].all():
@@ -330,7 +375,7 @@ def verified(pairs: DataFrame, lists: DataFrame, min_tokens: int, similarity: fl
                 anchors, a, b = (batch.column(k)[row].values.to_numpy() for k in (2, 3, 4))
                 if key != text:
                     text, covered = key, np.zeros(len(a), bool)
-                places = list(zip((anchors >> 32).tolist(), (anchors & 0xFFFFFFFF).tolist()))
+                places = np.stack([anchors >> 32, anchors & 0xFFFFFFFF], axis=1)
                 out += [(key, s, e, source, s2, e2) for s, e, s2, e2 in passages(a, b, places, min_tokens, similarity, key == source, covered)]
             columns = zip(*out) if out else [[]] * len(_FOUND)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()) * 2)], names=_FOUND)
@@ -346,13 +391,14 @@ def with_first(rows: DataFrame, *more: str) -> DataFrame:
     (source_id), its place (s) and ``more`` of it (first_...).
 
     First is by id, then by place. Keys are aggregated, which combines before the shuffle, and written
-    before the join: so the join reads plain rows on both sides, and Spark splits a frequent key.
+    before the join: so the join reads plain rows on both sides, and Spark splits a frequent key. The
+    side with a row for each key is hashed, which spares sorting the other.
     """
     shared = written(rows.groupBy("key").agg(F.min("id").alias("source_id"), F.count(F.lit(1)).alias("many")).where("many > 1"))
-    left = written(rows.join(shared, "key"))
+    left = written(rows.join(shared.hint("shuffle_hash"), "key"))
     discard(shared)
     heads = written(left.where("id = source_id").groupBy("key").agg(F.min("c").alias("s"), *[F.min_by(x, "c").alias(f"first_{x}") for x in more]))
-    joined = written(left.join(heads, "key"))
+    joined = written(left.join(heads.hint("shuffle_hash"), "key"))
     discard(left)
     discard(heads)
     return joined
@@ -403,23 +449,23 @@ def whole_sequences(places: DataFrame, texts: DataFrame, width: int, min_tokens:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for at, some in chunks(batch.column(2).cast(pa.large_binary()).to_pylist()):
                 h, first = words([t.lower() for t in some]).shingles(width)
-                for row, (low, high) in enumerate(pairwise(first.tolist()), at):
-                    packed = batch.column(1)[row].values.to_numpy()
-                    c, before, after = packed >> 12, packed >> 6 & 63, packed & 63
-                    for length in {min_tokens, min(RUN, min_tokens)}:
-                        starts = np.zeros(high - low + min_tokens, np.int64)
-                        n = np.where(before + after + 1 >= min_tokens, before + after - length + 2, 0)
-                        np.add.at(starts, (c - before)[n > 0], 1)
-                        np.add.at(starts, (c - before + n)[n > 0], -1)
-                        start = np.flatnonzero(np.cumsum(starts)[: max(0, high - low - length + 1)] > 0)
-                        if not len(start):
-                            continue
-                        key = block_hashes(h[low:high], length)[start]
-                        ids = np.full(len(key), batch.column(0)[row].as_py(), np.int64)
-                        arrays = [key.astype(np.int64), ids, start.astype(np.int32), np.full(len(key), length - 1, np.int8)]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "id", "c", "after"])
+                lists = batch.column(1).slice(at, len(some))
+                packed = lists.flatten().to_numpy()
+                begin = np.repeat(first[:-1], lists.value_lengths().to_numpy()) + (packed >> 12) - (packed >> 6 & 63)
+                reach = (packed >> 6 & 63) + (packed & 63) + 1
+                begin, reach = begin[reach >= min_tokens], reach[reach >= min_tokens]
+                blocks = doubled(h, min_tokens)
+                for length in {min_tokens, min(RUN, min_tokens)}:
+                    edges = np.bincount(begin, minlength=len(h) + 1) - np.bincount(begin + reach - length + 1, minlength=len(h) + 1)
+                    start = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+                    if not len(start):
+                        continue
+                    text = np.searchsorted(first, start, "right") - 1
+                    arrays = [hashes_at(blocks, start, length).astype(np.int64), ids[at + text], (start - first[text]).astype(np.int32), np.full(len(start), length - 1, np.int8)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "id", "c", "after"])
 
     return places.join(texts, "id").select("id", "places", "text").mapInArrow(part, "key bigint, id bigint, c int, after tinyint")
 
@@ -483,6 +529,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     end = lambda name: (F.col(name) + width).alias(name)
     found = found.union(more).distinct().select("id", "first", end("last"), "source_id", "source_first", end("source_last"))
     n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    n = F.when(F.col("source_id").isNotNull(), n)  # else Spark counts the words of every text before it joins
     again = every.join(copies, "id").select("id", n.alias("last"), "source_id").where(F.col("last") >= min_words)
     found = found.union(again.select("id", F.lit(0), "last", "source_id", F.lit(0), "last"))
     if renamed is None:

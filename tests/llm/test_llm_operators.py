@@ -766,3 +766,27 @@ def test_signatures_are_shuffled_in_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "KEY_PARTS", 1)
     assert sorted(map(tuple, jaccard_join.similar(docs_of(spark, texts)).collect())) == found
     assert sum(r[2] != r[0] for r in found) >= 25
+
+
+def test_words_of_copies_alone_are_counted(spark):
+    """Words are counted after the join with the copies, not of every text before it."""
+    rng = random.Random(3)
+    copy = prose(rng, 60)
+    found = substring_dedup.repeats(docs_of(spark, [copy, prose(rng, 70), copy, "few words"]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    counts = [line for line in plan.splitlines() if "regexp_extract_all" in line]  # what Spark puts for regexp_count
+    assert counts and all("source_id" in line for line in counts)
+    assert [tuple(r)[:6] for r in found.collect()] == [(2, 0, 60, 0, 0, 60)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_places_that_match_are_counted_alike_both_ways(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 300, 400).astype(np.int32)
+    b = np.concatenate([rng.integers(0, 300, 30), a[50:170], rng.integers(0, 300, 9), a[170:330]]).astype(np.int32)
+    anchors = [(i - j, i) for i in range(0, 400, 3) for j in (i - 20, i - 11, i + 40) if 0 <= j < len(b)]
+    found = []
+    for dense in (1, 8, 1 << 30):
+        monkeypatch.setattr(substring_dedup, "DENSE", dense)
+        found.append(substring_dedup.passages(a, b, anchors, 46, 0.8, False))
+    assert found[0] == found[1] == found[2] and found[0]
