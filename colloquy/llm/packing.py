@@ -22,11 +22,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import written
-from .token_ids import as_bytes, token_ids
+from .token_ids import as_bytes, encoding
 
 #: Rows of one length that are ranked in one task, and the tasks for each length at least.
 RANKED_ROWS, RANKED_BUCKETS = 200_000, 64
@@ -47,16 +48,16 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     end = as_bytes([end_id])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = token_ids(vocabulary)
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["_id"], batch["_text"]):
-                ids = encoder.encode(text) + end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + n)]
-                    rows.append((key, k, start, n, zlib.crc32(part), *([part] if with_ids else [])))
-            columns = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            yield pd.DataFrame(rows, columns=columns)
+        with encoding(vocabulary) as encoder:
+            for batch in batches:
+                rows = []
+                for key, text in zip(batch["_id"], batch["_text"]):
+                    ids = encoder.encode(text) + end
+                    for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                        part = ids[4 * start : 4 * (start + n)]
+                        rows.append((key, k, start, n, zlib.crc32(part), *([part] if with_ids else [])))
+                columns = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+                yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(encode, schema)
 
@@ -118,7 +119,10 @@ def pack(items: DataFrame, *, order: list[str], capacity: int = 2048) -> DataFra
     counts = written(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     found = rounds(histogram, capacity)
-    plan = spark.createDataFrame(found, "length bigint, _low bigint, _high bigint, _first bigint, _per bigint, _offset bigint")
+    # By Arrow: tuples would be unpickled by Python workers of their own, which then stay.
+    names = ["length", "_low", "_high", "_first", "_per", "_offset"]
+    columns = zip(*found) if found else [[]] * len(names)
+    plan = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=names))
     plan = F.broadcast(plan) if len(found) <= BROADCAST_RANGES else plan
     inside = Window.partitionBy("length", "_bucket").orderBy(*order)
     ranked = rows.withColumn("_in", F.row_number().over(inside).cast("bigint") - 1)

@@ -565,7 +565,8 @@ def without_repeats(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id"
 
     joined = docs.join(cuts, F.col(id_col) == F.col("_id"), "left")
     joined = joined.withColumn("_cuts", F.when(F.col("_others").isNull(), F.col("_cut")).otherwise(F.try_element_at("_others", F.xxhash64(text_col))))
-    new = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(keep(F.col(text_col), F.col("_cuts")))
+    once = keep.asNondeterministic()  # a filter on the result must not run it again, in a second worker of the same task
+    new = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(once(F.col(text_col), F.col("_cuts")))
     return joined.withColumn(text_col, new).select(*docs.columns)
 
 

@@ -1,7 +1,7 @@
 """Token identifiers of whole texts, as little-endian unsigned 32-bit bytes.
 
 Words between single spaces are never joined by the byte-level pre-tokeniser, so each word is
-encoded once a worker and remembered. The ranks come from the .tiktoken twin of the tokenizers
+encoded once a task, or a worker, and remembered. The ranks come from the .tiktoken twin of the tokenizers
 file (the same vocabulary, as ranks); tests hold the ids against the tokenizers library.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -54,3 +56,13 @@ class TokenIds:
 def token_ids(path: str | None = None) -> TokenIds:
     """One encoder a worker process and file."""
     return TokenIds(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@contextmanager
+def encoding(path: str | None = None) -> Iterator[TokenIds]:
+    """The encoder for one task. Workers outlive tasks; the words that this one remembers needn't."""
+    encoder = token_ids(path)
+    try:
+        yield encoder
+    finally:
+        encoder.of_word.clear()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from colloquy.llm import bpe, components, fingerprints, jaccard_join, language, licenses, packed_matrices, packing, quality, registry, sentencepieces, substring_dedup, word_hashes
+from colloquy.llm import bpe, components, fingerprints, jaccard_join, language, licenses, packed_matrices, packing, quality, registry, sentencepieces, substring_dedup, token_ids, word_hashes
 
 SF_DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, piece string, length string, id string, n string"
@@ -790,3 +790,20 @@ def test_places_that_match_are_counted_alike_both_ways(monkeypatch, seed):
         monkeypatch.setattr(substring_dedup, "DENSE", dense)
         found.append(substring_dedup.passages(a, b, anchors, 46, 0.8, False))
     assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_pipeline_tasks_hold_few_python_workers(spark):
+    """Texts are cut once, by one worker of a task, also where the result is filtered; the ranges of the
+    packing need no worker to be read; and a worker keeps no words when its task is done."""
+    docs = docs_of(spark, [f"{' '.join(f'w{i}' for i in range(60))} {x}" for x in ("a", "b", "c")])
+    found = substring_dedup.repeats(docs)
+    cut = substring_dedup.without_repeats(docs, found).withColumn("n_chars", F.length("text")).where(F.col("text").rlike("[a-z]"))
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text for r in cut.collect()}[1].split() == ["b"]
+    packed = packing.pack_documents(docs, with_ids=False)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.piece, r.sequence_id) for r in packed.collect()) == [(0, 0, 0), (1, 0, 0), (2, 0, 0)]
+    assert packing.pack_documents(docs.limit(0), with_ids=False).count() == 0
+    with token_ids.encoding() as encoder:
+        assert encoder.encode("some words") and encoder.of_word
+    assert not token_ids.token_ids().of_word
