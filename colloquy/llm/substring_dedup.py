@@ -37,7 +37,8 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import discard, written
@@ -54,7 +55,9 @@ DENSE = 8
 #: Block minima are kept up to 2 ** LEVELS shingles; longer reaches take several steps.
 LEVELS = 10
 #: Columns of windows().
-WINDOW = ["key", "id", "c", "before", "after", "left", "right"]
+WINDOW = ["key", "id", "c", "before", "after", "left", "right", "lead"]
+#: Bits of a window's lead.
+LEADS, LEADS_LEFT, LEADS_RIGHT = 1, 2, 4
 
 
 def block_minima(h: np.ndarray, most: int = LEVELS) -> list[np.ndarray]:
@@ -136,10 +139,33 @@ def block_hashes(h: np.ndarray, length: int) -> np.ndarray:
     return hashes_at(doubled(h, length), np.arange(max(0, len(h) - length + 1)), length)
 
 
+def repeated(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of the rows that equal an earlier one in all columns."""
+    order = np.lexsort(columns)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for x in columns:
+        x = x[order]
+        same &= x[1:] == x[:-1]
+    return order[1:][same]
+
+
+def leads(text: np.ndarray, key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits of each row: whether its text has no earlier row of its key, of its key and left, of its
+    key and right."""
+    lead = np.full(len(key), LEADS | LEADS_LEFT | LEADS_RIGHT, np.int8)
+    again = repeated(text, key)
+    if len(again):
+        lead[again] &= ~LEADS
+        some = np.flatnonzero(np.isin(key, key[again]))
+        for bit, side in ((LEADS_LEFT, left), (LEADS_RIGHT, right)):
+            lead[some[repeated(text[some], side[some], key[some])]] &= ~bit
+    return lead
+
+
 def windows(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
-    """Of ``id, text``: ``key, id, c, before, after, left, right`` of every compact window: hash and
+    """Of ``id, text``: ``key, id, c, before, after, left, right, lead`` of every compact window: hash and
     place of its minimum, how far sequences of ``min_tokens`` shingles with that minimum reach on both
-    sides of it, and hashes of SIDE shingles on both sides (0 where the text ends before)."""
+    sides of it, hashes of SIDE shingles on both sides (0 where the text ends before), and leads()."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,35 +188,43 @@ def windows(texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
                         found = np.zeros(len(c), np.int32)
                         found[there] = hashes[start[there]].astype(np.uint32).view(np.int32) | 1
                         beside.append(found)
-                    arrays = [key.astype(np.int64), ids[at + text].astype(np.int64), within.astype(np.int32), *reach, *beside]
+                    arrays = [key.astype(np.int64), ids[at + text].astype(np.int64), within.astype(np.int32), *reach, *beside, leads(text, key, *beside)]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=WINDOW)
 
-    schema = "key bigint, id bigint, c int, before tinyint, after tinyint, left int, right int"
+    schema = "key bigint, id bigint, c int, before tinyint, after tinyint, left int, right int, lead tinyint"
     return texts.select("id", "text").mapInArrow(find, schema)
 
 
+def running(x: np.ndarray) -> np.ndarray:
+    """Sums of the elements before each place, and of all."""
+    total = np.zeros(len(x) + 1, np.int64)
+    x.cumsum(out=total[1:])
+    return total
+
+
 def farthest(same: np.ndarray, price: int, at_least: int) -> tuple[np.ndarray, np.ndarray]:
     """The last end of a stretch from each place with at least ``price`` matches for each place
     without one, and which places lie in such stretches of ``at_least`` places."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -price))])
-    later = np.maximum.accumulate(total[:0:-1])[::-1]  # the most that is reached from each end on
-    ends = np.searchsorted(-later, -total[:-1], "right") - 1
-    starts = np.flatnonzero(ends - np.arange(len(same)) + 1 >= at_least)
-    edges = np.bincount(starts, minlength=len(same) + 1) - np.bincount(ends[starts] + 1, minlength=len(same) + 1)
-    return ends, np.cumsum(edges[:-1]) > 0
+    total = running(np.where(same, -1, price))
+    later = np.minimum.accumulate(total[:0:-1])[::-1]  # the least that is reached from each end on
+    ends = later.searchsorted(total[:-1], "right") - 1
+    reach = np.where(ends - np.arange(len(same)) + 1 >= at_least, ends, -1)
+    return ends, np.maximum.accumulate(reach) >= np.arange(len(same))
 
 
 def widest(ends: np.ndarray, at: int) -> tuple[int, int]:
     """The widest stretch around ``at``, by ``farthest``."""
-    low = int(np.where(ends[: at + 1] >= at, ends[: at + 1] - np.arange(at + 1), -1).argmax())
+    before = ends[: at + 1]
+    low = int(np.where(before >= at, before - np.arange(at + 1), -1).argmax())
     return low, int(ends[low])
 
 
 def trimmed(same: np.ndarray, low: int, high: int, at_least: int) -> tuple[int, int]:
     """The stretch without the places at its ends that don't match, as far as its length allows."""
-    inside = np.flatnonzero(same[low : high + 1]) + low
-    low = min(int(inside[0]), high + 1 - at_least)
-    return low, max(int(inside[-1]), low + at_least - 1)
+    inside = same[low : high + 1]
+    first, last = low + int(inside.argmax()), high - int(inside[::-1].argmax())
+    low = min(first, high + 1 - at_least)
+    return low, max(last, low + at_least - 1)
 
 
 def exact_runs(same: np.ndarray, at_least: int) -> np.ndarray:
@@ -200,6 +234,13 @@ def exact_runs(same: np.ndarray, at_least: int) -> np.ndarray:
     return starts[ends - starts >= at_least]
 
 
+def bordered(x: np.ndarray, most: int, border: int) -> np.ndarray:
+    """For each place the elements up to ``most`` places around it; ``border``, which is no element, beyond the ends."""
+    beyond = np.full(most, border, np.int64)
+    row = np.concatenate([beyond, x.astype(np.int64), beyond])
+    return np.ndarray((len(x), 2 * most + 1), np.int64, row, strides=row.strides * 2)
+
+
 @lru_cache(16)
 def costs(similarity: float) -> tuple[Fraction, int, int]:
     """The similarity, and what a place without a match costs: aligned, it counts in both sets."""
@@ -225,6 +266,18 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: np.ndarray | list[tuple[int,
     share, shift_cost, gap_cost = costs(similarity)
     found: list[tuple[int, int, int, int]] = []
     covered = np.zeros(len(a), bool) if covered is None else covered
+    shift, place = np.asarray(anchors, np.int64).reshape(-1, 2).T
+    order = np.lexsort((place, shift))
+    shift, place = shift[order], place[order]
+    edges = np.flatnonzero(np.concatenate([[True], shift[1:] != shift[:-1], [True]]))
+    # Distances bring nothing where all around their places is covered.
+    bare = np.concatenate([[0], np.cumsum(~covered)])
+    bare = bare[np.minimum(place[edges[1:] - 1] + min_tokens, len(a))] > bare[np.maximum(place[edges[:-1]] - min_tokens + 1, 0)]
+    if not bare.any():
+        return found
+    sizes = np.diff(edges)
+    keep = np.repeat(bare, sizes)
+    shift, place, edges = shift[keep], place[keep], np.concatenate([[0], np.cumsum(sizes[bare])])
 
     def alike(same: np.ndarray, base: int, places: list[int], cost: int, there) -> None:
         """Passages around the places that bring matches not covered yet."""
@@ -258,25 +311,19 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: np.ndarray | list[tuple[int,
                     break
                 failed.add((s, e))
 
-    shift, place = np.asarray(anchors, np.int64).reshape(-1, 2).T
-    order = np.lexsort((place, shift))
-    shift, place = shift[order], place[order]
-    edges = np.flatnonzero(np.concatenate([[True], shift[1:] != shift[:-1], [True]]))
     # How many of the aligned places around each anchor match.
     matches = np.empty(len(place), np.int64)
     few = np.repeat(np.diff(edges) < DENSE, np.diff(edges))
     if few.any():
-        around = place[few, None] + np.arange(1 - min_tokens, min_tokens)
-        there = around - shift[few, None]
-        inside = (around >= 0) & (around < len(a)) & (there >= 0) & (there < len(b))
-        matches[few] = (inside & (a.take(around, mode="clip") == b.take(there, mode="clip"))).sum(1)
+        here, there = bordered(a, min_tokens - 1, 1 << 40), bordered(b, min_tokens - 1, 1 << 41)
+        matches[few] = (here[place[few]] == there[(place - shift)[few]]).sum(1)
 
     def aligned(at: int) -> tuple[int, np.ndarray]:
         low, high = max(0, at), min(len(a), len(b) + at)
         return low, a[low:high] == b[low - at : high - at]
 
     def around_each(same: np.ndarray, places: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(same)])
+        total = running(same)
         return total[np.minimum(places + min_tokens, len(same))] - total[np.maximum(places - min_tokens + 1, 0)]
 
     edges = edges.tolist()
@@ -386,28 +433,34 @@ def verified(pairs: DataFrame, lists: DataFrame, min_tokens: int, similarity: fl
     return both.mapInArrow(verify, "id bigint, first int, last int, source_id bigint, source_first int, source_last int")
 
 
-def with_first(rows: DataFrame, *more: str) -> DataFrame:
-    """``rows`` of keys that occur twice or more, with how often (many), and the id of the first
-    (source_id), its place (s) and ``more`` of it (first_...).
+def leading(bit: int) -> Column:
+    """Whether a window's lead has the bit."""
+    return F.col("lead").bitwiseAND(F.lit(bit).cast("tinyint")) != 0
+
 
-    First is by id, then by place. Keys are aggregated, which combines before the shuffle, and written
-    before the join: so the join reads plain rows on both sides, and Spark splits a frequent key. The
-    side with a row for each key is hashed, which spares sorting the other.
+def with_first(rows: DataFrame, *more: str, lead: Column, wanted: str | None = None) -> DataFrame:
+    """``rows`` (those that are ``wanted``) of keys that occur twice or more, with how often (many), and the
+    id of the first (source_id), its place (s) and ``more`` of it (first_...).
+
+    First is by id, then by place: lead is true for the first row of each key and id. Keys are
+    aggregated, which combines before the shuffle, and written before the join: so the join reads plain
+    rows on both sides, and Spark splits a frequent key. The side with a row for each key is hashed,
+    which spares sorting the other.
     """
-    shared = written(rows.groupBy("key").agg(F.min("id").alias("source_id"), F.count(F.lit(1)).alias("many")).where("many > 1"))
-    left = written(rows.join(shared.hint("shuffle_hash"), "key"))
-    discard(shared)
-    heads = written(left.where("id = source_id").groupBy("key").agg(F.min("c").alias("s"), *[F.min_by(x, "c").alias(f"first_{x}") for x in more]))
-    joined = written(left.join(heads.hint("shuffle_hash"), "key"))
-    discard(left)
-    discard(heads)
+    of_first = [F.min_by(x, F.when(lead, F.col("id"))).alias(name) for x, name in (("c", "s"), *((x, f"first_{x}") for x in more))]
+    keys = rows.groupBy("key").agg(F.min("id").alias("source_id"), F.count(F.lit(1)).alias("many"), *of_first, *([F.max(wanted).alias("_wanted")] if wanted else []))
+    keys = written(keys.where("many > 1 AND _wanted").drop("_wanted") if wanted else keys.where("many > 1"))
+    joined = written((rows.where(wanted) if wanted else rows).join(keys.hint("shuffle_hash"), "key"))
+    discard(keys)
     return joined
 
 
 def beside(rows: DataFrame, left: str, right: str) -> DataFrame:
-    """The rows twice, their key made narrower by what is on the left, and on the right, of them."""
-    sides = F.array(F.when(F.col(left) != 0, F.xxhash64("key", F.lit(1), left)), F.when(F.col(right) != 0, F.xxhash64("key", F.lit(2), right)))
-    return rows.withColumn("key", F.explode(sides)).where("key IS NOT NULL")
+    """The rows twice, their key made narrower by what is on the left, and on the right, of them; lead
+    becomes that of the new key."""
+    sides = [F.when(F.col(x) != 0, F.struct(F.xxhash64("key", F.lit(k), x).alias("key"), leading(bit).alias("lead"))) for k, x, bit in ((1, left, LEADS_LEFT), (2, right, LEADS_RIGHT))]
+    rest = [x for x in rows.columns if x not in ("key", "lead")]
+    return rows.select(*rest, F.explode(F.array(*sides)).alias("_side")).where("_side IS NOT NULL").select("_side.key", *rest, "_side.lead")
 
 
 def anchored(met: DataFrame) -> DataFrame:
@@ -429,13 +482,13 @@ def open_places(met: DataFrame, found: DataFrame) -> DataFrame:
     Of a sequence with the minimum at c, one half or more lies on one side of c, and of a run with c
     SIDE shingles or more. Where only two windows have a minimum, they have been compared.
     """
-    rows = met.where("many > 2").select("key", "id", "c", "before", "after", "left", "right")
+    rows = met.where("many > 2").select(WINDOW)
     left = written(unexplained(rows, found))
     partners = rows.join(left.select("key").distinct(), "key", "left_semi")
-    halves = written(beside(partners, "left", "right"))
+    halves = written(beside(partners, "left", "right").select("key", "id", "c", "before", "after"))
     keys = beside(left, "left", "right").select("key").distinct()
     twice = halves.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").join(keys, "key", "left_semi").select("key")
-    both = halves.join(twice, "key", "left_semi").groupBy("id", "c").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    both = halves.join(twice, "key", "left_semi").repartition("id").groupBy("id", "c").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     place = (F.col("c").cast("bigint") * 64 + F.col("before")) * 64 + F.col("after")
     places = written(both.groupBy("id").agg(F.collect_list(place).alias("places")))
     discard(left)
@@ -443,15 +496,20 @@ def open_places(met: DataFrame, found: DataFrame) -> DataFrame:
     return places
 
 
-def whole_sequences(places: DataFrame, texts: DataFrame, width: int, min_tokens: int) -> DataFrame:
-    """``key, id, c, after`` of all sequences of ``min_tokens`` shingles that have one of the places
-    in their middle, and of the runs of RUN in them: hash, where they begin, and shingles after that."""
+def whole_sequences(places: DataFrame, texts: DataFrame, found: DataFrame, width: int, min_tokens: int) -> DataFrame:
+    """``key, id, c, lead, open`` of all sequences of ``min_tokens`` shingles that have one of the places
+    in their middle, and of the runs of RUN in them: hash, where they begin, whether their text has the
+    same no earlier, and whether they lie in none of the passages found in it."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for at, some in chunks(batch.column(2).cast(pa.large_binary()).to_pylist()):
+            for at, some in chunks(batch.column(3).cast(pa.large_binary()).to_pylist()):
                 h, first = words([t.lower() for t in some]).shingles(width)
+                inside = batch.column(2).slice(at, len(some))
+                ends = inside.flatten().to_numpy()
+                ends = np.repeat(first[:-1], pc.fill_null(inside.value_lengths(), 0).to_numpy()) + np.stack([ends >> 32, ends & 0xFFFFFFFF])
+                ends = ends[:, ends[0].argsort()]  # of passages that don't meet
                 lists = batch.column(1).slice(at, len(some))
                 packed = lists.flatten().to_numpy()
                 begin = np.repeat(first[:-1], lists.value_lengths().to_numpy()) + (packed >> 12) - (packed >> 6 & 63)
@@ -464,10 +522,16 @@ def whole_sequences(places: DataFrame, texts: DataFrame, width: int, min_tokens:
                     if not len(start):
                         continue
                     text = np.searchsorted(first, start, "right") - 1
-                    arrays = [hashes_at(blocks, start, length).astype(np.int64), ids[at + text], (start - first[text]).astype(np.int32), np.full(len(start), length - 1, np.int8)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "id", "c", "after"])
+                    key, lead, bare = hashes_at(blocks, start, length).astype(np.int64), np.ones(len(start), bool), np.ones(len(start), bool)
+                    lead[repeated(text, key)] = False
+                    if ends.size:
+                        k = np.searchsorted(ends[0], start, "right") - 1
+                        bare = (k < 0) | (ends[1][k] < start + length - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids[at + text], (start - first[text]).astype(np.int32), lead, bare)], names=["key", "id", "c", "lead", "open"])
 
-    return places.join(texts, "id").select("id", "places", "text").mapInArrow(part, "key bigint, id bigint, c int, after tinyint")
+    inside = spans(found).groupBy("id").agg(F.collect_list(F.shiftleft(F.col("first").cast("bigint"), 32) + F.col("last")).alias("inside"))
+    rows = places.join(inside, "id", "left").join(texts, "id").select("id", "places", "inside", "text")
+    return rows.mapInArrow(part, "key bigint, id bigint, c int, lead boolean, open boolean")
 
 
 def different_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -510,21 +574,20 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return done
 
     rows = written(windows(texts, width, min_tokens))
-    met = with_first(rows, "left", "right")
+    met = with_first(rows, "left", "right", lead=leading(LEADS))
     discard(rows)
     same = (F.col("left") == F.col("first_left")) & (F.col("left") != 0) | (F.col("right") == F.col("first_right")) & (F.col("right") != 0)
     apart = met.where((F.col("many") > 2) & ~same).select("key").distinct()
-    others = with_first(beside(met.join(apart, "key", "left_semi").select("key", "id", "c", "left", "right"), "left", "right").select("key", "id", "c"))
+    others = with_first(beside(met.join(apart, "key", "left_semi").select("key", "id", "c", "left", "right", "lead"), "left", "right").select("key", "id", "c", "lead"), lead=F.col("lead"))
     found = check(anchored(met.where(same).select("id", "c", "source_id", "s").union(others.select("id", "c", "source_id", "s"))))
     discard(others)
     places = open_places(met, found)
     discard(met)
-    rows = written(whole_sequences(places, texts, width, min_tokens))
+    rows = written(whole_sequences(places, texts, found, width, min_tokens))
     discard(places)
-    met = with_first(rows)
+    met = with_first(rows, lead=F.col("lead"), wanted="open")
     discard(rows)
-    left = unexplained(met.withColumn("before", F.lit(0)), found)
-    more = check(anchored(left))
+    more = check(anchored(met))
     discard(met)
     end = lambda name: (F.col(name) + width).alias(name)
     found = found.union(more).distinct().select("id", "first", end("last"), "source_id", "source_first", end("source_last"))

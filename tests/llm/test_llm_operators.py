@@ -807,3 +807,59 @@ def test_pipeline_tasks_hold_few_python_workers(spark):
     with token_ids.encoding() as encoder:
         assert encoder.encode("some words") and encoder.of_word
     assert not token_ids.token_ids().of_word
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_leads_of_windows(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(0, 300))
+    text, key, left, right = np.sort(rng.integers(0, 8, n)), *(rng.integers(0, k, n) for k in (30, 3, 4))
+    expected, seen = [], set()
+    for t, k, x, y in zip(text.tolist(), key.tolist(), left.tolist(), right.tolist()):
+        each = [(t, k), (t, k, "left", x), (t, k, "right", y)]
+        expected.append(sum(1 << bit for bit, name in enumerate(each) if name not in seen))
+        seen.update(each)
+    assert substring_dedup.leads(text, key, left, right).tolist() == expected
+
+
+def test_first_rows_come_with_their_keys(spark, monkeypatch):
+    """Rows of repeated keys are joined once, and only those that are wanted."""
+    rng, tables_of = random.Random(4), []
+    rows = sorted({(rng.randrange(6), rng.randrange(12) - 3, rng.randrange(40)) for _ in range(150)} | {(9, 1, 1), (8, -(2**63), 5), (8, 2**63 - 1, 0)})
+    leads = {min(r for r in rows if r[:2] == kind) for kind in {r[:2] for r in rows}}
+    rows = [(*r, f"x{r[2]}", r in leads, rng.random() < 0.3) for r in rows]
+    rng.shuffle(rows)
+    write = substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df: tables_of.append(df.columns) or write(df))
+    df = spark.createDataFrame(rows, "key bigint, id bigint, c int, x string, lead boolean, open boolean").repartition(5)
+    for wanted in (None, "open"):
+        expected = []
+        for key, i, c, x, _, is_open in rows:
+            of_key = sorted(r[1:4] for r in rows if r[0] == key)
+            if len(of_key) > 1 and (is_open or not wanted):
+                expected.append((key, i, c, x, len(of_key), *of_key[0]))
+        got = substring_dedup.with_first(df, "x", lead=F.col("lead"), wanted=wanted)
+        assert sorted(tuple(r) for r in got.select("key", "id", "c", "x", "many", "source_id", "s", "first_x").collect()) == sorted(expected)
+    assert len(tables_of) == 4
+
+
+def test_sequences_in_passages_found_are_not_joined(spark, monkeypatch):
+    """Sequences that lie in passages found are sources for others, and aren't joined themselves: of 30 texts that
+    share 90 words in all places but a few at most those around the other words are."""
+    rng, joined = random.Random(8), []
+    shared = [f"s{i}" for i in range(90)]
+    half = [f"h{i}" for i in range(30)]
+    some = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [some(30) + shared + some(60) + half + some(30) for _ in range(30)]
+    write = substring_dedup.written
+
+    def watched(df):
+        out = write(df)
+        if "s" in df.columns and "many" in df.columns:
+            joined.append(out.count() if "c" in df.columns else None)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", watched)
+    found = substring_dedup.repeats(docs_of(spark, [" ".join(t) for t in texts])).collect()
+    assert {r.id for r in found if r.first <= 30 and r.last >= 120 and r.source_id < r.id} == set(range(1, 30))
+    assert len(joined) == 6 and joined[5] < 30 * 60
